@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most limit bytes in a string or binary column; a longer value stands alone."""
+    """Slices of a batch with at most limit bytes in a string or binary column; a longer value stands alone.
+
+    Columns of other types aren't sliced.
+    """
     array = batch.column(column)
-    if not batch.num_rows or array.nbytes <= limit:
+    if not batch.num_rows or array.nbytes <= limit or not (pa.types.is_string(array.type) or pa.types.is_binary(array.type)):
         yield batch
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(array), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(array), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and size + n > limit:

@@ -20,7 +20,7 @@ def _sharding() -> str:
       SELECT k, first(s ORDER BY score DESC, s) FILTER (WHERE s < {SHARDS}) AS shard, first(s ORDER BY score DESC, s) AS grown FROM scored GROUP BY k),
     summed AS (
       SELECT sized.*, shard, grown,
-        xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen(body) + 1), lambda i: ('0x' || substr(hex(encode(body)), 2 * i - 1, 2))::BIGINT)),
+        xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: ('0x' || h)::BIGINT)),
           lambda c, b: xor(c >> 8, list_extract(crc_table, xor(c & 255, b) + 1)))) AS text_crc32
       FROM sized JOIN placed USING (k) CROSS JOIN table_of)
     SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,

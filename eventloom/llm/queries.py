@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 SHARDS = 40
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from eventloom.llm.bpe import token_columns
+
+    outputs = "n_tokens", "ids_sha256", "decoded_sha256"
+    return token_columns(documents(spark, sf_dir).select("doc_id", "text"), "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN, outputs, ["doc_id"])
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.sharding import text_shards
 
@@ -26,4 +36,4 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": op2_sharding, "op7_media_columns": op7_media_columns}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op7_media_columns": op7_media_columns}
