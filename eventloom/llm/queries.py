@@ -29,11 +29,29 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_shards(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", [1.0] * SHARDS, grown=[1.0])
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.language import held_out, language_columns, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = train(docs, "doc_id", "text", "lang")
+    predicted = language_columns(docs, "text", model, keep=["doc_id"])
+    return predicted.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.media import stored_columns
 
     return stored_columns(documents(spark, sf_dir).select("doc_id", "text"), "text", keep=["doc_id"])
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from eventloom.llm.mixing import mixed
+
+    docs = documents(spark, sf_dir).select("doc_id", "source", F.xxhash64("text").alias("digest"))
+    return mixed(docs, "doc_id", "source", order_by="digest").drop("digest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op7_media_columns": op7_media_columns}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op10_mixing": op10_mixing}
