@@ -29,5 +29,17 @@ def _sharding() -> str:
     """
 
 
+EXACT = r"""
+    WITH bare AS (
+      SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+    SELECT doc_id,
+      first_value(doc_id) OVER (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST) AS keep_id,
+      count(*) OVER (PARTITION BY t) AS group_size,
+      row_number() OVER (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST) = 1 AS kept,
+      sha256(t) AS text_sha256
+    FROM bare
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _sharding()}
+    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT}

@@ -29,6 +29,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_shards(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", [1.0] * SHARDS, grown=[1.0])
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.exact import exact_groups
+
+    return exact_groups(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.language import held_out, language_columns, train
 
@@ -54,4 +60,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op10_mixing": op10_mixing}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op10_mixing": op10_mixing}
