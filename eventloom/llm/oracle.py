@@ -41,5 +41,18 @@ EXACT = r"""
     """
 
 
+SUBSTRING = r"""
+    WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    starts AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS p, words FROM split WHERE len(words) >= 13),
+    windows AS (SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS w FROM starts),
+    hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY w) AS least FROM windows) WHERE least < doc_id),
+    covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM hits),
+    gone AS (SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+      sha256(coalesce(array_to_string(list_filter(words, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' '), '')) AS kept_sha256
+    FROM split LEFT JOIN gone USING (doc_id)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT}
+    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT, "op8_substring_dedup": SUBSTRING}
