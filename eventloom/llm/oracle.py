@@ -54,5 +54,20 @@ SUBSTRING = r"""
     """
 
 
+NEAR = r"""
+    WITH RECURSIVE split AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS s
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM split WHERE len(words) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT, "op8_substring_dedup": SUBSTRING}
+    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT, "op8_substring_dedup": SUBSTRING, "op9_minhash_dedup": NEAR}

@@ -56,6 +56,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.llm.near import near_groups
+
+    return near_groups(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -66,4 +72,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op8_substring_dedup": op8_substring_dedup, "op10_mixing": op10_mixing}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op8_substring_dedup": op8_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_mixing": op10_mixing}
