@@ -213,7 +213,7 @@ def coder(ranks_path: str, pattern: str) -> BytePairs:
 
 
 OUTPUTS: dict[str, tuple[T.DataType, Callable[[bytes, bytes], object]]] = {
-    "ids": (T.ArrayType(T.LongType()), lambda ids, raw: np.frombuffer(ids, "<u4").astype(np.int64)),
+    "ids": (T.ArrayType(T.IntegerType()), lambda ids, raw: np.frombuffer(ids, "<u4").astype(np.int32)),
     "decoded": (T.BinaryType(), lambda ids, raw: raw),
     "n_tokens": (T.LongType(), lambda ids, raw: len(ids) // 4),
     "ids_sha256": (T.StringType(), lambda ids, raw: hashlib.sha256(ids).hexdigest()),

@@ -66,18 +66,19 @@ def with_columns_from_text(
     """
     names = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__value"))
+    own = [F.col(f"`{c}`") for c in kept]
+    source = df.select(*own) if text in kept else df.select(*own, F.col(f"`{text}`").alias("__value"))
     schema = T.StructType([source.schema[c] for c in kept] + fields)
     arrow = to_arrow_schema(schema)
-    at = len(kept)
+    at, width = kept.index(text) if text in kept else len(kept), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
             for part in chunks(batch, at):
                 made = apply(part.column(at))
-                columns = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(at + i).type) for i, c in enumerate(made)]
-                carried = [part.column(i).cast(arrow.field(i).type) for i in range(at)]
+                columns = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(width + i).type) for i, c in enumerate(made)]
+                carried = [part.column(i).cast(arrow.field(i).type) for i in range(width)]
                 yield pa.RecordBatch.from_arrays([*carried, *columns], schema=arrow)
 
     return source.mapInArrow(run, schema)

@@ -164,3 +164,18 @@ def exact_groups(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BY
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of df that exact_groups keeps, with all their columns.
+
+    Rows that share a key and are the same in every column count as one. A row without a key is found again by its
+    normalised text. Rows of one key with different texts stand or fall together.
+    """
+    kept = exact_groups(df, key, text).where("kept").select(F.col(f"`{key}`").alias("__key"), "text_sha256")
+    column = F.col(f"`{key}`")
+    named = df.where(column.isNotNull()).join(kept.where("__key IS NOT NULL"), column == F.col("__key"), "left_semi").dropDuplicates()
+    bare = F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), BLANKS.decode(), "").cast("binary"), 256)
+    nameless = df.where(column.isNull()).withColumn("__sha", bare)
+    nameless = nameless.join(kept.where("__key IS NULL"), F.col("__sha") == F.col("text_sha256"), "left_semi").dropDuplicates(["__sha"])
+    return named.unionByName(nameless.drop("__sha"))

@@ -260,3 +260,13 @@ def near_groups(df: DataFrame, key: str, text: str, size: int = 5, similarity: t
     joined = rows.join(groups, "component", "left")
     component = F.when(F.col("grouped"), F.col("least")).otherwise(F.col("key"))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """The rows of df that near_groups keeps, with all their columns: one of each group of linked rows.
+
+    A row without a key can't be told from others and stays. Options: those of near_groups.
+    """
+    kept = near_groups(df, key, text, **options).where("kept").select(F.col(f"`{key}`").alias("__key")).where("__key IS NOT NULL")
+    column = F.col(f"`{key}`")
+    return df.where(column.isNotNull()).join(kept, column == F.col("__key"), "left_semi").unionByName(df.where(column.isNull()))
