@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import written
+from eventloom.plans.storage import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links every larger (large) or every smaller neighbour of each node, and the node, to its smallest neighbour."""
     turned = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(turned) if large else turned
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    if large:
+        least = least.select("u", F.least("u", "m").alias("m"))
     joined = both.join(least.repartition("u"), "u")
     if large:
         out = joined.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -28,16 +30,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     with a null count for nothing. Each round's edges are written to the shared folder; rounds grow with the logarithm
     of the number of nodes.
     """
-    current = written(
-        edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name
-    )
+    current = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     seen = None
     while True:
         current = written(_star(_star(current, True), False), name)
-        # a forest of stars stays as it is: no node is both a centre and a leaf, and no leaf has two centres
+        # a round that changes nothing leaves stars only
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(
-                current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-            )
+            centres = current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+            return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(centres)
         seen = now
