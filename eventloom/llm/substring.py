@@ -3,7 +3,7 @@
 Texts are read in batches. Every batch indexes the non-overlapping blocks of ANCHOR words of its texts and probes with
 every rolling window of ANCHOR words; two equal windows of at least 2 * ANCHOR - 1 words share at least one anchor.
 Hashes travel sorted and packed, one blob for each batch and bucket of hashes, and meet in their bucket; batches hear
-which of their anchors others hold too. Only windows around such hits are looked up in turn, by 128-bit fingerprints,
+which of their anchors others hold too. Only windows around such hits are looked up in turn, by 95-bit fingerprints,
 which finds each one's smallest document; consecutive hits are the maximal exact repeats. A common passage costs each
 batch that holds it a few bytes, whatever the number of its documents; texts move once.
 """
@@ -26,8 +26,11 @@ BATCHES = 3
 NO_KEY = np.int64(2**63 - 1)
 _PROBES = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("probes", pa.binary()), ("anchors", pa.binary())])
 _HITS = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("hits", pa.binary())])
-_PRINTS = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("prints", pa.binary())])
-_SOURCES = pa.schema([("batch", pa.int32()), ("prints", pa.binary())])
+_PRINTS = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("keys", pa.binary()), ("width", pa.int32())])
+_SOURCES = pa.schema([("batch", pa.int32()), ("all", pa.binary()), ("some", pa.binary())])
+#: The bit of a print's second half that tells that its batch has it in several rows.
+SEVERAL = np.uint32(1 << 31)
+_SOME = np.dtype([("a", "<u8"), ("least", "<i8")])
 
 
 def _raws(table: pa.Table) -> list[bytes]:
@@ -57,10 +60,6 @@ def _anchor_windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np
     return words.windows(size), whole, whole & (place % size == 0)
 
 
-def _print_type() -> np.dtype:
-    return np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8"), ("most", "<i8")])
-
-
 def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, partitions: int | None = None, with_spans: bool = False) -> DataFrame:
     """key, n_words, n_removed and kept_sha256 of every row of df: words that repeat text of smaller keys go.
 
@@ -120,28 +119,38 @@ def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, p
         for j in range(1, window - anchor + 1):
             near[:-j] |= hit[j:]
         at = np.flatnonzero(near & words.whole(window))
-        rows = np.empty(len(at), _print_type())
-        rows["a"], rows["b"] = words.windows(window, 3)[at], words.windows(window, 5)[at]
-        rows["least"] = rows["most"] = keys[words.owner()[at]]
-        rows = _merged(rows)[0]
-        bucket = _bucket(rows["a"], buckets)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        some = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
+        a, b, least, most = _merged(words.windows(window, 3)[at], words.windows(window, 5)[at].astype(np.uint32) & ~SEVERAL, keys[words.owner()[at]])[:4]
+        b |= np.where(most > least, SEVERAL, np.uint32(0))
+        cuts = np.searchsorted(_bucket(a, buckets), np.arange(buckets + 1)).tolist()
+        some = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
+        narrow = not len(least) or least.min() >= 0 and least.max() < 1 << 32
+        sent = a, b, least.astype("<u4" if narrow else "<i8")
+        blobs = [pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for x in sent]
         batch = table.column("batch")[0].as_py()
-        return pa.table([pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int32()), pa.array([rows[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())], schema=_PRINTS)
+        return pa.table([pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int32()), *blobs, pa.array([4 if narrow else 8] * len(some), pa.int32())], schema=_PRINTS)
 
     def sources(table: pa.Table) -> pa.Table:
-        blobs = table.column("prints").to_pylist()
-        rows = np.concatenate([np.frombuffer(x, _print_type()) for x in blobs])
-        who = np.repeat(table.column("batch").to_numpy(), [len(x) // rows.dtype.itemsize for x in blobs])
-        merged, group = _merged(rows)
-        least = merged["least"][group]
-        tell = least < rows["most"]
-        rows, who = rows[tell].copy(), who[tell]
-        rows["least"] = least[tell]
-        order = np.argsort(who, kind="stable")
-        own, first = np.unique(who[order], return_index=True)
-        return pa.table([pa.array(own.astype(np.int32)), pa.array([x[["a", "b", "least"]].copy().astype(_told()).tobytes() for x in np.split(rows[order], first[1:])] if len(own) else [], pa.binary())], schema=_SOURCES)
+        firsts = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
+        a, b = np.concatenate(firsts), np.frombuffer(b"".join(table.column("b").to_pylist()), "<u4")
+        own = np.concatenate([np.frombuffer(x, "<u4" if w == 4 else "<i8").astype(np.int64) for x, w in zip(table.column("keys").to_pylist(), table.column("width").to_pylist(), strict=True)])
+        who = np.repeat(table.column("batch").to_numpy(), list(map(len, firsts)))
+        _, _, smallest, _, group = _merged(a, b & ~SEVERAL, own)
+        least = smallest[group]
+        later, mixed = least < own, (least == own) & (b >= SEVERAL)
+        answers: dict[int, list[bytes]] = {}
+        for k, (told, kind) in enumerate(((later, None), (mixed, _SOME))):
+            at = np.flatnonzero(told)
+            at = at[np.argsort(who[at], kind="stable")]
+            batch, first = np.unique(who[at], return_index=True)
+            for x, part in zip(batch.tolist(), np.split(at, first[1:]), strict=False):
+                if kind is None:
+                    blob = a[part].tobytes()
+                else:
+                    rows = np.empty(len(part), kind)
+                    rows["a"], rows["least"] = a[part], least[part]
+                    blob = rows.tobytes()
+                answers.setdefault(x, [b"", b""])[k] = blob
+        return pa.table([pa.array(list(answers), pa.int32()), *(pa.array([x[k] for x in answers.values()], pa.binary()) for k in (0, 1))], schema=_SOURCES)
 
     fields = [T.StructField(key, source.schema["key"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_spans:
@@ -155,18 +164,18 @@ def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, p
         raws, keys = _raws(table), _keys(table)
         words = Words(raws)
         gone = np.zeros(len(words) + 1, np.int64)
-        told = np.concatenate([np.frombuffer(x, _told()) for x in heard.column("prints").to_pylist()] or [np.empty(0, _told())])
-        if len(told):
-            told = told[np.argsort(told["a"], kind="stable")]
+        later = np.sort(np.frombuffer(b"".join(heard.column("all").to_pylist()), "<u8"))
+        mixed = np.frombuffer(b"".join(heard.column("some").to_pylist()), _SOME)
+        if len(later) or len(mixed):
             a = words.windows(window, 3)
-            maybe = np.zeros(1 << 22, bool)
-            maybe[told["a"] >> np.uint64(42)] = True
-            at = np.flatnonzero(maybe[a >> np.uint64(42)] & words.whole(window))
-            place = np.minimum(np.searchsorted(told["a"], a[at]), len(told) - 1)
-            b = words.windows(window, 5)[at]
-            sure = (told["a"][place] == a[at]) & (told["b"][place] == b) & (told["least"][place] < keys[words.owner()[at]])
-            np.add.at(gone, at[sure], 1)
-            np.add.at(gone, at[sure] + window, -1)
+            whole = words.whole(window)
+            drop = whole & _within(a, later)
+            mixed = mixed[np.argsort(mixed["a"], kind="stable")]
+            at = np.flatnonzero(whole & _within(a, mixed["a"]))
+            least = mixed["least"][np.searchsorted(mixed["a"], a[at])]
+            drop[at[least < keys[words.owner()[at]]]] = True
+            at = np.flatnonzero(drop)
+            gone += np.bincount(at, minlength=len(gone)) - np.bincount(at + window, minlength=len(gone))
         gone = np.cumsum(gone)[:-1] > 0
         removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), words.first)[:-1] if len(raws) else []
         removed = np.where(words.counts > 0, removed, 0)
@@ -190,10 +199,6 @@ def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, p
     return source.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(judged, result)
 
 
-def _told() -> np.dtype:
-    return np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8")])
-
-
 def _within(values: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Whether each value is in the sorted array found."""
     if not len(found) or not len(values):
@@ -207,18 +212,15 @@ def _within(values: np.ndarray, found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merged(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each (a, b), sorted, with the least and the greatest key; and each row's place in that."""
-    group = np.zeros(len(rows), np.int64)
-    if not len(rows):
-        return rows, group
-    order = np.lexsort((rows["b"], rows["a"]))
-    a, b = rows["a"][order], rows["b"][order]
-    new = np.ones(len(rows), bool)
+def _merged(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (a, b), sorted, with the least and the greatest key of each; and each row's place among these."""
+    order = np.lexsort((b, a))
+    a, b, key = a[order], b[order], key[order]
+    new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     first = np.flatnonzero(new)
-    out = rows[order[first]].copy()
-    out["least"] = np.minimum.reduceat(rows["least"][order], first)
-    out["most"] = np.maximum.reduceat(rows["most"][order], first)
+    group = np.empty(len(a), np.int64)
     group[order] = np.cumsum(new) - 1
-    return out, group
+    if not len(a):
+        return a, b, key, key, group
+    return a[first], b[first], np.minimum.reduceat(key, first), np.maximum.reduceat(key, first), group
