@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from eventloom.llm.queries import SHARDS
+from eventloom.llm import lines
+from eventloom.llm.queries import LINE_PAGES, LINE_RATIO, SHARDS
 
 
 def _sharding() -> str:
@@ -69,5 +70,23 @@ NEAR = r"""
     """
 
 
+def _lines() -> str:
+    quoted = {k: v.replace("'", "''") for k, v in (("host", lines.HOST), ("silent", lines.SILENT), ("blocks", lines.BLOCKS), ("tags", lines.TAGS))}
+    return r"""
+    WITH bare AS (
+      SELECT page_id, coalesce(regexp_extract(lower(url), '{host}', 1), '') AS host,
+        regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{silent}', ' ', 'g'), '{blocks}', chr(10), 'g'), '{tags}', '', 'g') AS t FROM pages),
+    cut AS (
+      SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '') AS l FROM bare),
+    totals AS (SELECT host, count(*) AS pages FROM cut WHERE host <> '' GROUP BY host),
+    often AS (
+      SELECT host, line FROM (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(l)) AS line FROM cut WHERE host <> '') GROUP BY host, line)
+      JOIN totals USING (host) WHERE pages >= {pages} AND n > 1 AND n::DOUBLE / pages > {ratio}::DOUBLE),
+    boiler AS (SELECT host, list(line) AS b FROM often GROUP BY host),
+    kept AS (SELECT page_id, host, l, CASE WHEN b IS NULL THEN l ELSE list_filter(l, lambda x: NOT list_contains(b, x)) END AS k FROM cut LEFT JOIN boiler USING (host))
+    SELECT page_id, host, len(l)::BIGINT AS n_lines, (len(l) - len(k))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(k, chr(10)), '')) AS kept_sha256 FROM kept
+    """.replace("{pages}", str(LINE_PAGES)).replace("{ratio}", str(LINE_RATIO)).replace("{host}", quoted["host"]).replace("{silent}", quoted["silent"]).replace("{blocks}", quoted["blocks"]).replace("{tags}", quoted["tags"])
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT, "op8_substring_dedup": SUBSTRING, "op9_minhash_dedup": NEAR}
+    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT, "op6_line_dedup": _lines(), "op8_substring_dedup": SUBSTRING, "op9_minhash_dedup": NEAR}

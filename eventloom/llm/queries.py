@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 SHARDS = 40
+PIECES = "piece_bpe_32k.model"
+LINE_RATIO, LINE_PAGES = 0.3, 5
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -29,6 +31,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_shards(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", [1.0] * SHARDS, grown=[1.0])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from eventloom.llm.counts import count_columns
+
+    return count_columns(documents(spark, sf_dir).select("doc_id", "text"), "text", public_tokenizers.path(PIECES), ["doc_id"])
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.exact import exact_groups
 
@@ -44,6 +54,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from eventloom.llm.lines import html_text, without_boilerplate
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    cleaned = without_boilerplate(pages, "url", html_text("html"), LINE_RATIO, LINE_PAGES)
+    return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.media import stored_columns
 
@@ -72,4 +92,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_sharding": op2_sharding, "op4_exact_dedup": op4_exact_dedup, "op5_language_id": op5_language_id, "op7_media_columns": op7_media_columns, "op8_substring_dedup": op8_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup, "op10_mixing": op10_mixing}
+    every = op1_byte_bpe, op2_sharding, op3_token_counts, op4_exact_dedup, op5_language_id, op6_line_dedup, op7_media_columns, op8_substring_dedup, op9_minhash_dedup, op10_mixing
+    return {f.__name__: f for f in every}

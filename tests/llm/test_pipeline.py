@@ -1,0 +1,70 @@
+import zlib
+
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline as cp
+from eventloom.llm import bpe, queries
+from tests.llm.test_dedup import plain_exact, plain_near
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Some documents of the smallest table, and hard cases."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 3000").limit(80)
+    texts = [r.text for r in docs.limit(2).collect()]
+    hard = [(9001, None, "en"), (9002, "12345 67890", "en"), (9003, texts[0], None), (9004, "  " + texts[1].replace(" ", "  "), "fr"), (9005, texts[1].upper(), "fr"), (9006, "", None)]
+    extra = spark.createDataFrame([(i, t, lang, None if i % 2 else "src0", None) for i, t, lang in hard], docs.schema)
+    path = str(tmp_path_factory.mktemp("sf"))
+    docs.unionByName(extra).coalesce(2).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_registered():
+    names = set(entry.queries())
+    assert {f"op{n}_" for n in range(1, 11) if n not in (3, 6)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
+    assert set(entry.oracle_sql()) <= names and [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
+    assert set(queries.queries()) < names
+
+
+def test_stages_against_plain_versions(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        before = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        stage(spark, docs, folder).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert docs.count() == len(ids)
+        if name == "language_id":
+            assert ids == {i for i, t in before if t and any(map(str.isalpha, t))}
+        elif name == "exact_dedup":
+            assert ids == {i for i, v in plain_exact(before).items() if v[2]}
+        elif name == "near_dedup":
+            assert ids == {i for i, v in plain_near(before).items() if v[2]}
+        else:
+            assert ids == {i for i, _ in before}
+        if name != "byte_bpe":
+            assert docs.columns == columns
+            texts = {r.doc_id: r.text for r in docs.collect()}
+    library = tiktoken.Encoding("own", pat_str=cp.public_tokenizers.PATTERN, mergeable_ranks=bpe.coder(cp.public_tokenizers.path(cp.RANKS), cp.public_tokenizers.PATTERN).ranks, special_tokens={})
+    assert {r.doc_id: r.ids for r in docs.collect()} == {i: library.encode_ordinary(t) for i, t in texts.items()}
+    ran = {r.doc_id: r.ids_sha256 for r in cp.run(spark, folder).collect()}
+    assert ran == {r.doc_id: r.ids_sha256 for r in docs.collect()}
+
+
+def test_nothing_to_learn_from(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language_id(spark, docs, folder).where("doc_id = 9002 OR text IS NULL").count() == 0
+
+
+def test_queries_return_their_columns(spark, folder):
+    out = queries.op5_language_id(spark, folder)
+    assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[9001].lang_pred == "und" and rows[9003].held_out == (zlib.crc32(b"9003") % 4 == 2)
+    assert queries.op10_mixing(spark, folder).count() == len(rows)
