@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from eventloom.llm.common import chunks, written
 from eventloom.llm.words import Words
-from eventloom.operators.components import components
+from eventloom.operators.components import moved, roots_of
 
 TREES, DEPTH, LEAST = 32, 6, 4
 #: Regions with at most so many rows give all their pairs; larger ones are split.
@@ -31,7 +31,7 @@ BESIDE = 3
 #: Signatures of one task that it remembers to pass each on once.
 REMEMBERED = 1 << 20
 #: Candidates of a document, or of a document and a group, that one round of confirmation takes; None: all.
-ROUNDS = 1, 1, 4, 16, None
+ROUNDS = 1, 2, None
 _RNG = np.random.default_rng(20)
 _MASKS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _FACTORS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -236,25 +236,33 @@ def near_groups(df: DataFrame, key: str, text: str, size: int = 5, similarity: t
                 yield pa.RecordBatch.from_arrays([pa.array(map(_digest, own), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], schema=sets_of)
 
     blobs = written(texts.select("text").mapInArrow(sets, from_arrow_schema(sets_of)).dropDuplicates(["node"]), "sets")
-    links = labels = None
+    labels = None
     for i, most in enumerate(ROUNDS):
+        # ca and cb: what a and b are known to belong to
         chosen = pairs if most is None else pairs.where(F.col("turn") <= most)
-        sides = chosen.select("a", "b").join(blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        new = sides.select("a", "b", "x", "y").mapInArrow(_confirmed(similarity), from_arrow_schema(_PAIRS))
-        new = written(new, f"links-{i}")
-        links = new if links is None else links.unionAll(new)
-        labels = components(links if labels is None else new.unionAll(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        chosen = chosen.select("a", "b", *(("ca", "cb") if i else (F.col("a").alias("ca"), F.col("b").alias("cb"))))
+        sides = chosen.join(blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        links = sides.select("ca", "cb", "x", "y").mapInArrow(_confirmed(similarity), from_arrow_schema(_PAIRS))
+        if i:
+            links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = written(links, f"links-{i}")
+        new = None
+        if not links.isEmpty():
+            new = written(roots_of(links, f"roots-{i}", forest=not i), f"roots-{i}")
+            labels = written(new if labels is None else moved(labels, "root", new).unionByName(new).distinct(), f"labels-{i}")
         if most is None:
             break
-        of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        rest = pairs.where(F.col("turn") > most).drop("turn").join(of_a, "a", "left").join(of_b, "b", "left")
-        ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-        rest = rest.where(ca != cb).select("a", "b", F.row_number().over(Window.partitionBy("b", ca).orderBy("a")).alias("turn"))
-        pairs = written(rest, f"pairs-{i}")
+        rest = pairs.where(F.col("turn") > most).drop("turn")
+        if not i:
+            rest = rest.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+        if new is not None:
+            rest = moved(moved(rest, "ca", new), "cb", new)
+        pairs = written(rest.where("ca != cb").withColumn("turn", F.row_number().over(Window.partitionBy("b", "ca").orderBy("a"))), f"pairs-{i}")
         if pairs.isEmpty():
             break
-    rows = signed.select("key", "n", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if labels is None:
+        labels = asked.select("node", F.col("node").alias("root")).limit(0)
+    rows = signed.select("key", "n", "node").join(labels, "node", "left").withColumn("component", F.coalesce("root", "node"))
     groups = rows.where("n > 0").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least")).where("rows > 1")
     groups = written(groups.select("component", "least", F.lit(True).alias("grouped")), "components")
     joined = rows.join(groups, "component", "left")
