@@ -225,7 +225,7 @@ def near_groups(df: DataFrame, key: str, text: str, size: int = 5, similarity: t
     pairs = written(near.distinct().withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("a"))), "pairs")
 
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = signed.where("n > 0").select("key", "node").join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()
+    wanted = signed.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(asked, "node", "left_semi").select("key").distinct()
     texts = source.join(wanted, source["key"].eqNullSafe(wanted["key"]), "left_semi")
     sets_of = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
 
