@@ -78,3 +78,16 @@ def test_online_counts(spark, log, tmp_path):
             query.stop()
     assert spark.table("wip").where("wip > 0").count() == 1
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 24
+
+
+def test_extractors(log):
+    from eventloom.operators.extractors import TimestampExtractor, WorkInProgress
+
+    made = TimestampExtractor("all", ["hour_of_day"], "h").fit(log).transform(log)
+    assert made.columns == [*schema.KEYS, "accumulated_time", "time_since_last_event", "hour_of_day"]
+    assert WorkInProgress("2D").fit(log).transform(log).columns == [*schema.KEYS, "wip"]
+    for wrong in (TimestampExtractor(None, None), WorkInProgress("2 days"), TimestampExtractor("remaining_time")):
+        with pytest.raises(ValueError):
+            wrong.fit(log)
+    with pytest.raises(ValueError):
+        WorkInProgress().transform(log)
