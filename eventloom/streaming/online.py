@@ -23,7 +23,8 @@ def online_features(events: DataFrame, n: int = 3, forget_after: str | None = No
 
     Events of a case are taken in order of time within a micro-batch; one that is older than its case's last event
     counts as it comes, with a time since it of 0 at least. forget_after: a case without events so long, in processing
-    time, loses its state, like "30 days"; by default states stay.
+    time, loses its state, like "30 days"; such a query goes on starting micro-batches without new events, to see who is
+    late, so that processAllAvailable doesn't return. By default states stay.
     """
     kind = events.schema["case_id"].dataType.simpleString()
     windows = [f"activity_w_{j}" for j in range(n)]
