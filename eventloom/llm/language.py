@@ -85,8 +85,11 @@ class LanguageModel:
         )
 
 
-def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7, min_score: float = 0.5) -> LanguageModel:
-    """Trains on four fifths of the texts, whole and in short windows, and fits the temperature on the rest."""
+def fit(texts: list[str], langs: list[str], dim: int = 16, updates: int = 12_000, rate: float = 0.5, seed: int = 7, min_score: float = 0.5) -> LanguageModel:
+    """Trains on four fifths of the texts, whole and in short windows, and fits the temperature on the rest.
+
+    The number of updates is the same for few texts and many, so that a small sample is learnt as well.
+    """
     names = sorted(set(langs))
     if not names:
         raise ValueError("no labelled text to learn from")
@@ -112,6 +115,7 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate
         bucket, n = np.unique(np.concatenate([b[lo : max(lo, hi - k + 1)] for k, b in zip(ORDERS, buckets, strict=True)]), return_counts=True)
         return bucket, (n / max(1, n.sum())).astype(np.float32)
 
+    epochs = -(-updates // len(train))
     steps, done = epochs * len(train), 0
     for _ in range(epochs):
         for i in rng.permutation(train):
