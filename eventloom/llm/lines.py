@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.plans.storage import written
+
 #: The host of a URL, without user and port.
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 #: What of HTML has no text, what ends a line, and what is left out.
@@ -56,7 +58,8 @@ def without_boilerplate(df: DataFrame, url: str, text: Column, ratio: float = 0.
     if not 0 < ratio <= 1:
         raise ValueError("ratio lies above 0 and is at most 1")
     cut = df.withColumns({"__host": host_of(url), "__lines": lines_of(text)})
-    found = boilerplate(cut.select("__host", "__lines"), ratio, min_pages).withColumnRenamed("__host", "__of")
+    # written, so that its size is known: broadcast below Spark's limit, else a join whose hot hosts Spark can split
+    found = written(boilerplate(cut.select("__host", "__lines"), ratio, min_pages).withColumnRenamed("__host", "__of"), "boilerplate")
     joined = cut.join(found, F.col("__host") == F.col("__of"), "left")
     kept = F.when(F.col("__boilerplate").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains(F.col("__boilerplate"), x)))
     out = joined.withColumn("__kept", kept).withColumns(
