@@ -71,7 +71,8 @@ def dense_number(df: DataFrame, group: str, order: list[Column], into: str, spre
     """Adds `into`: 0, 1, 2 ... without gaps in each value of group, in the order (bucket of spread, order).
 
     No task gets a whole group: rows are numbered within (group, bucket), and the counts of the buckets, buckets x
-    groups rows, become offsets. spread must be a deterministic integer expression.
+    groups rows, become offsets. These are written first, so that Spark knows their size before it joins: below its
+    limit they are broadcast and the rows don't move again. spread must be a deterministic integer expression.
     """
     cut = df.withColumn("__bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     counts = cut.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -79,6 +80,7 @@ def dense_number(df: DataFrame, group: str, order: list[Column], into: str, spre
     offsets = counts.select(
         F.col(group).alias("__group"), F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
+    offsets = written(offsets, "offsets")
     ranked = cut.withColumn("__rank", F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(*order)).cast("long"))
     return (
         ranked.join(offsets, ranked[group].eqNullSafe(offsets["__group"]) & (ranked["__bucket"] == offsets["__of"]))
