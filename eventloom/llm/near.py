@@ -4,7 +4,8 @@ Each tree orders the signatures by values of its own. Neighbours in that order w
 all pairs of a region that shares `least` values, if it is small; a larger region is split by the next value, again
 and again, and its rows are candidates with its first row and with the rows beside them. Candidates are confirmed on
 whole shingle sets, first one for each document, then what still connects two different groups, so that a pair is left
-out only if its ends are linked already.
+out only if its ends are linked already. Where a larger region is not one group after that, an exact join of its sets'
+rarest shingles gives every pair that can still be a link, so that none is lost there.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ ROUNDS = 1, 2, None
 _RNG = np.random.default_rng(20)
 _MASKS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _FACTORS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
+#: Bits of the buckets in which shingles are counted, to put the rare ones first.
+COUNTED = 18
+#: Rows of a shingle's bucket that one block of the exact join takes.
+BLOCK = 1024
 #: Shingles that are signed at a time, unless one text has more.
 SIGNED = 1 << 15
 
@@ -98,6 +103,10 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
 
 _LEAVES = pa.schema([*((f"x{i}", pa.int64()) for i in range(4)), ("node", pa.binary()), ("n", pa.int64())])
 _PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+#: big: not a pair, but a larger region (its smallest node) and a node in it.
+_FOUND = pa.schema([*_PAIRS, ("big", pa.bool_())])
+_COUNTS = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
+_POSTINGS = pa.schema([("shingle", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("indexed", pa.bool_()), ("blocks", pa.int32()), ("node", pa.binary()), ("component", pa.binary())])
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +161,12 @@ def _region_pairs(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     return a[a != b], b[a != b]
 
 
+def _large_regions(values: np.ndarray, least: int) -> list[np.ndarray]:
+    """The rows of each region that is too large to give all its pairs, of sorted rows as in _region_pairs."""
+    starts = np.flatnonzero(np.append(True, (values[1:, : least + 1] != values[:-1, : least + 1]).any(1)))
+    return [np.arange(a, b) for a, b in zip(starts, np.append(starts[1:], len(values)), strict=True) if b - a > SMALL]
+
+
 def _neighbours(least: int, similarity: tuple[int, int]):
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
         x = [rows.column(i).to_numpy() for i in range(4)]
@@ -164,11 +179,13 @@ def _neighbours(least: int, similarity: tuple[int, int]):
         values, nodes, n = values[once], nodes[once], n[once]
         i, j = _region_pairs(values, least)
         fits = similarity[1] * np.minimum(n[i], n[j]) >= similarity[0] * np.maximum(n[i], n[j])
-        found = {(a, b) if a < b else (b, a) for a, b in zip(nodes[i[fits]], nodes[j[fits]], strict=True) if a != b}
+        found = {(a, b, False) if a < b else (b, a, False) for a, b in zip(nodes[i[fits]], nodes[j[fits]], strict=True) if a != b}
+        for region in _large_regions(values, least):
+            smallest = nodes[region].min()
+            found.update((smallest, x, True) for x in nodes[region])
         if not found:
             return None
-        a, b = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_PAIRS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -204,6 +221,108 @@ def _confirmed(similarity: tuple[int, int]):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << COUNTED, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], schema=_COUNTS)
+
+
+def _prefixes(similarity: tuple[int, int], sent):
+    """The rarest shingles of each set, as many as it can't do without in a link; indexed: with a set no smaller."""
+    p, q = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            for part in chunks(batch, 2, 1 << 20):
+                columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+                rows = []
+                for i, x in enumerate(part.column(2)):
+                    own = np.frombuffer(x.as_buffer(), np.uint64)
+                    n = len(own)
+                    often = counts[(own >> np.uint64(64 - COUNTED)).astype(np.int64)]
+                    order = np.lexsort((own, often))[: n + 1 + -p * n // q]
+                    at = np.flatnonzero(often[order] > 1)  # what is counted once meets nothing
+                    picked = order[at]
+                    rows.append(np.full(len(at), i))
+                    for column, value in zip(columns, (own[picked].view(np.int64), at, np.full(len(at), n), at < n + 1 + -2 * p * n // (p + q), 1 + often[picked] // BLOCK), strict=True):
+                        column.append(value)
+                if not rows:
+                    continue
+                made = [pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(columns, _POSTINGS, strict=False)]
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*made, part.column(0).take(take), part.column(1).take(take)], schema=_POSTINGS)
+
+    return run
+
+
+def _left_open(members: DataFrame, blobs: DataFrame, labels: DataFrame | None, similarity: tuple[int, int]) -> DataFrame | None:
+    """a, b, ca and cb of all pairs of larger regions' nodes in different groups that can be links, by prefix filtering.
+
+    Under one order of all shingles, linked sets share one of the first n - need + 1 of each, need being what they have
+    to share; the order is by the count of the shingle's bucket, so that what a family has in common comes last.
+    """
+    p, q = similarity
+    placed = members.withColumn("root", F.lit(None).cast("binary")) if labels is None else members.join(labels, "node", "left")
+    placed = placed.select("region", "node", F.coalesce("root", "node").alias("component"))
+    regions = placed.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    nodes = written(placed.join(regions, "region", "left_semi").select("node", "component").distinct(), "open")
+    if nodes.isEmpty():
+        return None
+    sets = written(nodes.join(blobs, "node").select("node", "component", "shingles"), "open-sets")
+    sums = sets.select("shingles").mapInArrow(_counted, from_arrow_schema(_COUNTS)).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTED, np.int64)
+    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    postings = written(sets.mapInArrow(_prefixes(similarity, sent), from_arrow_schema(_POSTINGS)), "postings")
+    # a common shingle's larger sets are dealt to blocks, its smaller ones go to each
+    x = postings.where("indexed").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = postings.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("y")
+    meet = F.expr(
+        "x.shingle = y.shingle AND x.block = y.block AND x.component != y.component AND (x.n < y.n OR x.n = y.n AND x.node < y.node)"
+        f" AND {p + q}L * least(x.n - x.at, y.n - y.at) >= {p}L * (x.n + y.n)"
+    )
+    found = x.join(y, meet).select(
+        F.least("x.node", "y.node").alias("a"),
+        F.greatest("x.node", "y.node").alias("b"),
+        F.expr("if(x.node < y.node, x.component, y.component)").alias("ca"),
+        F.expr("if(x.node < y.node, y.component, x.component)").alias("cb"),
+    )
+    return found.distinct()
+
+
+def _linked(pairs: DataFrame, blobs: DataFrame, labels: DataFrame | None, similarity: tuple[int, int], name: str, known: bool = False) -> DataFrame | None:
+    """labels (node, root) after the links among pairs a < b, numbered by turn; None: no links yet. known: pairs have ca and cb."""
+    for i, most in enumerate(ROUNDS):
+        # ca and cb: what a and b are known to belong to
+        chosen = pairs if most is None else pairs.where(F.col("turn") <= most)
+        chosen = chosen.select("a", "b", *(("ca", "cb") if known else (F.col("a").alias("ca"), F.col("b").alias("cb"))))
+        sides = chosen.join(blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        links = sides.select("ca", "cb", "x", "y").mapInArrow(_confirmed(similarity), from_arrow_schema(_PAIRS))
+        if known:
+            links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = written(links, f"{name}-links-{i}")
+        new = None
+        if not links.isEmpty():
+            new = written(roots_of(links, f"{name}-roots-{i}", forest=not known), f"{name}-roots-{i}")
+            labels = written(new if labels is None else moved(labels, "root", new).unionByName(new).distinct(), f"{name}-labels-{i}")
+        if most is None:
+            break
+        rest = pairs.where(F.col("turn") > most).drop("turn")
+        if not known:
+            rest = rest.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+        if new is not None:
+            rest = moved(moved(rest, "ca", new), "cb", new)
+        known = True
+        pairs = written(rest.where("ca != cb").withColumn("turn", F.row_number().over(Window.partitionBy("b", "ca").orderBy("a"))), f"{name}-pairs-{i}")
+        if pairs.isEmpty():
+            break
+    return labels
+
+
 def near_groups(df: DataFrame, key: str, text: str, size: int = 5, similarity: tuple[int, int] = (75, 100), least: int = LEAST, partitions: int | None = None) -> DataFrame:
     """key, n_shingles, component_id and kept of every row of df.
 
@@ -212,8 +331,8 @@ def near_groups(df: DataFrame, key: str, text: str, size: int = 5, similarity: t
     similarity[0] * united are linked; component_id is the smallest key that links reach, and kept tells whether that is
     the row's own. A text without words, or null, has an empty set and is linked with nothing. Null keys are larger than
     any; a group of null keys only has a null id and stays. Equal sets are one node, however many rows have them.
-    Links are found with a probability of 1 - (1 - s ** least) ** TREES for sets of similarity s, 0.999995 for 0.75, in
-    regions of up to SMALL rows, where larger ones are split by up to DEPTH values; each is confirmed exactly. An empty
+    Links are found with a probability of at least 1 - (1 - s ** least) ** TREES for sets of similarity s, 0.999995 for
+    0.75, in regions of up to SMALL rows by all their pairs, in larger ones by an exact join; each is confirmed exactly. An empty
     table gives an empty result; other columns of df are neither read nor returned.
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -221,10 +340,14 @@ def near_groups(df: DataFrame, key: str, text: str, size: int = 5, similarity: t
     signed = written(_signed(source, size), "signed")
     leaves = signed.where("sign IS NOT NULL").select("node", "n", "sign").mapInArrow(_leaves, from_arrow_schema(_LEAVES))
     order = ["x0", "x1", "x2", "x3", "node"]
-    near = leaves.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, similarity), from_arrow_schema(_PAIRS))
-    pairs = written(near.distinct().withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("a"))), "pairs")
-
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    # no region of least values is cut by the end of a partition
+    whole = ["x0", "x1", F.shiftright("x2", 31)] if least >= 4 else ["x0"]
+    near = leaves.repartitionByRange(parts, *whole).sortWithinPartitions(*order).mapInArrow(_neighbours(least, similarity), from_arrow_schema(_FOUND))
+    found = written(near.distinct(), "found")
+    members = found.where("big").select(F.col("a").alias("region"), F.col("b").alias("node"))
+    pairs = written(found.where("NOT big").select("a", "b").withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("a"))), "pairs")
+
+    asked = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
     wanted = signed.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(asked, "node", "left_semi").select("key").distinct()
     texts = source.join(wanted, source["key"].eqNullSafe(wanted["key"]), "left_semi")
     sets_of = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
@@ -236,30 +359,11 @@ def near_groups(df: DataFrame, key: str, text: str, size: int = 5, similarity: t
                 yield pa.RecordBatch.from_arrays([pa.array(map(_digest, own), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], schema=sets_of)
 
     blobs = written(texts.select("text").mapInArrow(sets, from_arrow_schema(sets_of)).dropDuplicates(["node"]), "sets")
-    labels = None
-    for i, most in enumerate(ROUNDS):
-        # ca and cb: what a and b are known to belong to
-        chosen = pairs if most is None else pairs.where(F.col("turn") <= most)
-        chosen = chosen.select("a", "b", *(("ca", "cb") if i else (F.col("a").alias("ca"), F.col("b").alias("cb"))))
-        sides = chosen.join(blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        links = sides.select("ca", "cb", "x", "y").mapInArrow(_confirmed(similarity), from_arrow_schema(_PAIRS))
-        if i:
-            links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = written(links, f"links-{i}")
-        new = None
-        if not links.isEmpty():
-            new = written(roots_of(links, f"roots-{i}", forest=not i), f"roots-{i}")
-            labels = written(new if labels is None else moved(labels, "root", new).unionByName(new).distinct(), f"labels-{i}")
-        if most is None:
-            break
-        rest = pairs.where(F.col("turn") > most).drop("turn")
-        if not i:
-            rest = rest.withColumns({"ca": F.col("a"), "cb": F.col("b")})
-        if new is not None:
-            rest = moved(moved(rest, "ca", new), "cb", new)
-        pairs = written(rest.where("ca != cb").withColumn("turn", F.row_number().over(Window.partitionBy("b", "ca").orderBy("a"))), f"pairs-{i}")
-        if pairs.isEmpty():
-            break
+    labels = _linked(pairs, blobs, None, similarity, "near")
+    left = _left_open(members, blobs, labels, similarity)
+    if left is not None:
+        left = written(left.withColumn("turn", F.row_number().over(Window.partitionBy("b", "ca").orderBy("a"))), "left")
+        labels = _linked(left, blobs, labels, similarity, "left", True)
     if labels is None:
         labels = asked.select("node", F.col("node").alias("root")).limit(0)
     rows = signed.select("key", "n", "node").join(labels, "node", "left").withColumn("component", F.coalesce("root", "node"))

@@ -152,6 +152,38 @@ def test_near_in_a_large_region(spark):
     assert got == {i: 0 for i in range(90)} | {500: 500}
 
 
+def test_near_in_a_family_below_the_threshold(spark):
+    """1000 sets of mean similarity 0.6 to 0.7, of which few are linked, against all pairs."""
+    import numpy as np
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for i in range(1000):
+        own = list(base)
+        for at in rng.sample(range(204), 4):
+            own[at] = f"new{i}-{at}"
+        rows.append((i, " ".join(own)))
+    sets = [{" ".join(w[p : p + 5]) for p in range(200)} for w in (t.split() for _, t in rows)]
+    number = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, own in enumerate(sets):
+        has[i, [number[s] for s in own]] = 1
+    shared = has @ has.T
+    size = has.sum(1)
+    similar = shared / (size[:, None] + size - shared)
+    assert 0.6 < similar[np.triu_indices(1000, 1)].mean() < 0.7
+    label = np.arange(1000)
+    linked = 100 * shared >= 75 * (size[:, None] + size - shared)
+    while True:
+        lower = np.where(linked, label, 1000).min(1)
+        if (lower == label).all():
+            break
+        label = lower
+    got = {r.doc_id: r.component_id for r in near.near_groups(frame(spark, rows), "doc_id", "text", partitions=4).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
 def test_near_edge_cases(spark):
     rows = [(None, "a b c d e f"), (2, "A B C D E F"), (2, "a b c d e f"), (3, None), (4, "one"), (1, "ONE"), (None, ""), (6, "two")]
     df = frame(spark, rows)
