@@ -2,51 +2,57 @@
 
 Each source is cut into blocks of rows. Block i of a source with weight w (weights sum to 1) is released at slot
 floor(i / w) and due at slot ceil((i + 1) / w); in every slot the released block with the earliest deadline runs. At
-any slot each source is then less than one block away from its share. Weights are fractions of a period of slots, so
-that one period's schedule repeats; when a source runs dry, the weights of the others are scaled up and a new phase
-begins. The schedule needs the number of rows of each source and nothing else.
+any slot each source is then less than one block away from its share. Weights are exact rationals and are not rounded to
+a period; when a source runs dry, the weights of the others are scaled up and a new phase begins. The schedule needs the
+number of rows of each source and nothing else.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import dense_number
 
-#: Slots of a period at least.
+#: Slots of a piece of the schedule.
 PERIOD = 1024
+#: Blocks of a source whose slots are one row of the schedule that is sent out.
+SENT = 64
 
 
-def earliest_deadline_first(counts: list[int]) -> list[int]:
-    """The source of each of sum(counts) slots, counts[s] of them for source s."""
-    period = sum(counts)
-    waiting = [(0, s, 0) for s, n in enumerate(counts) if n]
+def _dealt(shares: list[int]) -> Iterator[int]:
+    """The source of slot 0, 1, 2 ... without end; shares: whole numbers in the weights' exact proportion."""
+    total = sum(shares)
+    waiting = [(0, s, 0) for s, n in enumerate(shares) if n]
     ready: list[tuple[int, int, int]] = []
-    slots = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // counts[s]), s, i))
+            heapq.heappush(ready, (-(-(i + 1) * total // shares[s]), s, i))
         _, s, i = heapq.heappop(ready)
-        slots.append(s)
-        if i + 1 < counts[s]:
-            heapq.heappush(waiting, ((i + 1) * period // counts[s], s, i + 1))
-    return slots
+        yield s
+        heapq.heappush(waiting, ((i + 1) * total // shares[s], s, i + 1))
+        slot += 1
+
 
+def earliest_deadline_first(counts: list[int]) -> list[int]:
+    """The source of each of sum(counts) slots, counts[s] of them for source s."""
+    return list(islice(_dealt(counts), sum(counts)))
 
-def whole_shares(weights: list[float], period: int) -> list[int]:
-    """Integers of at least 1 in proportion to weights that sum to period (largest remainders)."""
-    total, free = sum(weights), period - len(weights)
-    exact = [w / total * free for w in weights]
-    counts = [1 + int(x) for x in exact]
-    for s in sorted(range(len(weights)), key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(counts)]:
-        counts[s] += 1
-    return counts
+
+def exact_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
 
 
 @dataclass
@@ -60,37 +66,38 @@ class Phase:
     period: int
     offsets: list[int]
 
+    def slot(self, block: int) -> int:
+        turn, at = divmod(block - self.first, len(self.offsets))
+        return self.start + turn * self.period + self.offsets[at]
+
 
 def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int = PERIOD) -> list[Phase]:
-    """The schedule of all blocks. Every block gets one slot; slots 0, 1, 2 ... have one block each."""
+    """The schedule of all blocks, in pieces of `period` slots. Every block gets one slot; slots 0, 1, 2 ... have one block each."""
     left = {s: n for s, n in sorted(blocks.items(), key=lambda x: (x[0] is not None, x[0])) if n}
     done = dict.fromkeys(left, 0)
     found: list[Phase] = []
     slot = 0
     while left:
         names = list(left)
-        length = 1 if len(names) == 1 else max(period, 4 * len(names))
-        counts = whole_shares([weights[s] for s in names], length)
-        order = earliest_deadline_first(counts)
-        rounds = min(left[s] // n for s, n in zip(names, counts, strict=True))
-        if not rounds:  # part of a period, until a source runs dry
-            used = [0] * len(names)
-            for at, s in enumerate(order):
-                used[s] += 1
-                if used[s] == left[names[s]]:
-                    order = order[: at + 1]
+        if len(names) == 1:
+            found.append(Phase(names[0], done[names[0]], done[names[0]] + left[names[0]], slot, 1, [0]))
+            break
+        dealt = _dealt(exact_shares([weights[s] for s in names]))
+        while all(left.values()):  # until a source runs dry
+            places: list[list[int]] = [[] for _ in names]
+            length = 0
+            while length < period:
+                s = next(dealt)
+                places[s].append(length)
+                length += 1
+                left[names[s]] -= 1
+                if not left[names[s]]:
                     break
-            counts, rounds = used, 1
-        places: list[list[int]] = [[] for _ in names]
-        for at, s in enumerate(order):
-            places[s].append(at)
-        for s, name in enumerate(names):
-            if counts[s]:
-                taken = rounds * counts[s]
-                found.append(Phase(name, done[name], done[name] + taken, slot, len(order), places[s]))
-                done[name] += taken
-                left[name] -= taken
-        slot += rounds * len(order)
+            for name, own in zip(names, places, strict=True):
+                if own:
+                    found.append(Phase(name, done[name], done[name] + len(own), slot, length, own))
+                    done[name] += len(own)
+            slot += length
         left = {s: n for s, n in left.items() if n}
     return found
 
@@ -105,7 +112,7 @@ def mixed(
     source_rank // block_rows; slot is the block's place in the schedule and position = slot * block_rows + rank in the
     block, unique, with gaps only after the sources' last blocks. Null keys come first; rows equal in key and order_by
     are interchangeable. An empty table stays empty. The driver gets one count for each source, and the schedule it
-    sends out has at most 2 x sources x period slots. Columns of these names are replaced.
+    sends out has one number for each block. Columns of these names are replaced.
     """
     names = ("source_rank", "block", "slot", "position")
     df = df.drop(*names)
@@ -114,20 +121,16 @@ def mixed(
     target = {s: float(n) ** power for s, n in rows.items()} if weights is None else dict(weights)
     if wrong := [s for s in rows if not target.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {wrong[:5]}")
-    plan: dict[str | None, list[tuple]] = {}
+    slots: dict[str | None, list[int]] = {}
     for p in phases(blocks, target, period):
-        plan.setdefault(p.source, []).append((p.first, p.last, p.start, p.period, p.offsets))
-    schedule = df.sparkSession.createDataFrame(
-        list(plan.items()), f"__name {df.schema[source].dataType.simpleString()}, __plan array<struct<first:long,last:long,start:long,period:long,offsets:array<int>>>"
-    )
+        slots.setdefault(p.source, []).extend(map(p.slot, range(p.first, p.last)))
+    sent = [(s, at // SENT, own[at : at + SENT]) for s, own in slots.items() for at in range(0, len(own), SENT)]
+    schedule = df.sparkSession.createDataFrame(sent, f"__name {df.schema[source].dataType.simpleString()}, __part long, __slots array<long>")
     order = [F.col(f"`{key}`").asc_nulls_first()] + ([F.col(f"`{order_by}`").asc_nulls_first()] if order_by else [])
     ranked = dense_number(df, source, order, "source_rank", F.xxhash64(F.col(f"`{key}`")))
-    placed = ranked.withColumn("block", F.floor(F.col("source_rank") / block_rows)).join(F.broadcast(schedule), ranked[source].eqNullSafe(schedule["__name"]))
-    part = F.filter("__plan", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["last"]))[0]
-    placed = placed.withColumn("__part", part)
-    step = F.col("block") - F.col("__part.first")
-    each = F.size("__part.offsets")
-    slot = F.col("__part.start") + F.floor(step / each) * F.col("__part.period") + F.element_at("__part.offsets", (step % each + 1).cast("int"))
-    placed = placed.withColumn("slot", slot.cast("long"))
+    placed = ranked.withColumn("block", F.floor(F.col("source_rank") / block_rows))
+    part = F.floor(placed["block"] / SENT) == schedule["__part"]
+    placed = placed.join(F.broadcast(schedule), placed[source].eqNullSafe(schedule["__name"]) & part)
+    placed = placed.withColumn("slot", F.element_at("__slots", (F.col("block") % SENT + 1).cast("int")))
     placed = placed.withColumn("position", F.col("slot") * block_rows + F.col("source_rank") % block_rows)
     return placed.select(*(F.col(f"`{c}`") for c in df.columns), *names)

@@ -75,6 +75,16 @@ def test_phases_give_every_block_one_slot():
         assert sorted(slots.values()) == list(range(sum(blocks.values())))
 
 
+def test_no_drift_from_the_weights():
+    for weights in ([1.0] * 3, [1.0] * 20, [0.0001, 0.3, 0.6999], [2**0.5, 3**0.5, 5**0.5]):
+        blocks = {f"s{i}": int(40_000 * w / sum(weights)) + 1 for i, w in enumerate(weights)}
+        order = {p.start + at // len(p.offsets) * p.period + p.offsets[at % len(p.offsets)]: p.source for p in mixing.phases(blocks, {f"s{i}": w for i, w in enumerate(weights)}) for at in range(p.last - p.first)}
+        done = dict.fromkeys(blocks, 0)
+        for t in range(30_000):
+            done[order[t]] += 1
+            assert all(abs(done[f"s{i}"] - (t + 1) * w / sum(weights)) < 1 for i, w in enumerate(weights))
+
+
 def test_mixed(spark):
     rows = [(i, f"s{min(i % 10, 3)}" if i % 10 else None, "x") for i in range(1000)] + [(3, "s3", "x"), (None, "s1", "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot string")
