@@ -49,9 +49,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, their number, and digests of the ids and of what they decode to."""
+    """Each document's token ids, their number, digests of the ids and of what they decode to, and place.
+
+    place: a number that grows in the order of docs' files, which is the mixture's, whatever order they are read in: 20
+    bits for a file's part, 12 for its number among the part's files, 31 for the row in it.
+    """
     outputs = "ids", "n_tokens", "ids_sha256", "decoded_sha256"
-    return token_columns(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN, outputs, ["doc_id", "lang", "source"])
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    part, file = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    placed = docs.withColumn("place", F.shiftleft(part, 43) + F.shiftleft(file, 31) + row)
+    return token_columns(placed, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN, outputs, ["doc_id", "lang", "source", "place"])
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("byte_bpe", tokens)]

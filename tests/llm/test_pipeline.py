@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -57,6 +58,28 @@ def test_stages_against_plain_versions(spark, folder, tmp_path):
     assert ran == {r.doc_id: r.ids_sha256 for r in docs.collect()}
 
 
+def test_rows_have_the_places_of_the_mixture(spark, tmp_path):
+    """Sorted by place, every prefix of run()'s rows holds the sources at their target weights."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{rng.choice('abcd')}{i}x{k}" for k in range(6 + i % 9)), None, "rare" if i % 9 == 0 else "often", None) for i in range(1800)]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(cp.run(spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert len({r.place for r in got}) == len(got) == 1800
+    share = 200**0.5 / (200**0.5 + 1600**0.5)
+    rare = [r.source == "rare" for r in got]
+    last = max(i for i, x in enumerate(rare) if x)
+    assert all(abs(sum(rare[:n]) - n * share) <= 64 * 1.3 for n in range(64, last - 64, 64))
+
+
+def test_places_follow_the_files(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(i, "a word " * (1 + i // 100), None, "s", None) for i in range(400)]
+    spark.createDataFrame(rows, schema).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/mixed")
+    got = sorted(cp.tokens(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect(), key=lambda r: r.place)
+    assert [r.doc_id for r in got] == list(range(400))
+
+
 def test_nothing_to_learn_from(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     assert cp.language_id(spark, docs, folder).where("doc_id = 9002 OR text IS NULL").count() == 0
