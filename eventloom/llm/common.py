@@ -11,14 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from eventloom.plans.storage import shared_dir, written
+from eventloom.plans.storage import scratch, shared_dir, written
 
-__all__ = ["chunks", "dense_number", "shared_dir", "with_columns_from_text", "written"]
+__all__ = ["chunks", "dense_number", "key_byte", "no_clash", "scratch", "shared_dir", "text_print", "with_columns_from_text", "written"]
 
 #: Text that one call of a mapped function gets at most, unless a single text is longer.
 CHUNK_BYTES = 4 << 20
 
 
+def no_clash(key: str, *made: str) -> None:
+    """ValueError if the key column has the name of a column that is made."""
+    if key.lower() in made:
+        raise ValueError(f"the key column is called {key}, like a column of the result: rename it first")
+
+
+def key_byte(key: str) -> Column:
+    """The first byte of the MD5 of a key as text, 0 ... 255; a null key's is that of "null"."""
+    digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")
+
+
+def text_print(text: str) -> Column:
+    """16 bytes that tell texts apart, in the JVM; a null text has those of an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))))
+
+
 def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most limit bytes in a string or binary column; a longer value stands alone.
 
@@ -72,7 +89,8 @@ def dense_number(df: DataFrame, group: str, order: list[Column], into: str, spre
 
     No task gets a whole group: rows are numbered within (group, bucket), and the counts of the buckets, buckets x
     groups rows, become offsets. These are written first, so that Spark knows their size before it joins: below its
-    limit they are broadcast and the rows don't move again. spread must be a deterministic integer expression.
+    limit they are broadcast and the rows don't move again. df's group and spread are read twice: what is dear to
+    compute should be written before. spread must be a deterministic integer expression.
     """
     cut = df.withColumn("__bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     counts = cut.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))

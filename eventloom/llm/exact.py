@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from eventloom.llm.common import chunks, written
+from eventloom.llm.common import chunks, no_clash, scratch, text_print, written
 
 #: Bytes of white space that texts may differ in.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -31,14 +31,14 @@ BLOCK_BYTES = 8192
 REMEMBERED = 48 << 20
 
 
-def _cut(df: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
-    """A row for each document (its own number, key, code points, digest and its blocks' numbers) and one for each
+def _cut(source: DataFrame, block_bytes: int) -> DataFrame:
+    """A row for each document (its own number, key, print, code points, digest and its blocks' numbers) and one for each
     distinct block that a task met (number, block)."""
-    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType(
         [
             T.StructField("row", T.LongType()),
             T.StructField("key", source.schema["key"].dataType),
+            T.StructField("print", T.BinaryType()),
             T.StructField("points", T.LongType()),
             T.StructField("sha", T.StringType()),
             T.StructField("blocks", T.ArrayType(T.LongType())),
@@ -74,16 +74,17 @@ def _cut(df: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
                     [
                         pa.array(range(first + rows, first + rows + n), pa.int64()),
                         part.column(0).cast(arrow.field(1).type),
+                        part.column(2),
                         pa.array(points, pa.int64()),
                         pa.array(shas, pa.string()),
-                        pa.array(lists, arrow.field(4).type),
+                        pa.array(lists, arrow.field(5).type),
                         pa.nulls(n, pa.int64()),
                         pa.nulls(n, pa.binary()),
                     ],
                     schema=arrow,
                 )
                 if fresh:
-                    nothing = [pa.nulls(len(fresh), arrow.field(i).type) for i in range(5)]
+                    nothing = [pa.nulls(len(fresh), arrow.field(i).type) for i in range(6)]
                     columns = zip(*fresh, strict=True)
                     yield pa.RecordBatch.from_arrays([*nothing, pa.array(next(columns), pa.int64()), pa.array(next(columns), pa.binary())], schema=arrow)
                 rows += n
@@ -122,15 +123,10 @@ def _named(df: DataFrame, of: list[str], keep: list[str]) -> DataFrame:
     return sorted_.mapInArrow(run, schema)
 
 
-def exact_groups(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, keep_id, group_size, kept and text_sha256 of every row of df, rows that go included.
-
-    Texts are equal when they are identical after the characters of [\\x20\\x09-\\x0D] are deleted; a null text is
-    empty. Of equal texts, the row with the most code points stays, then the one with the smallest key (null last); of
-    rows equal in both, any one. text_sha256: of the normalised text in UTF-8. An empty table gives an empty result.
-    Columns of df other than key and text are neither read nor returned.
-    """
-    cut = written(_cut(df, key, text, block_bytes), "blocks")
+def _grouped(df: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
+    """key, print (of the text as it stands), keep, size, kept and sha of every row of df."""
+    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), text_print(text).alias("print"))
+    cut = written(_cut(source, block_bytes), "blocks")
     documents = cut.where(F.col("row").isNotNull())
     names = _named(cut.where(F.col("number").isNotNull()), ["block"], ["number"])
     parts = documents.select("row", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "number"))
@@ -152,30 +148,56 @@ def exact_groups(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BY
     last = ends[0]
     for more in ends[1:]:
         last = last.unionAll(more)
-    members = documents.select("row", "key", "points", "sha").join(last, "row")
+    members = written(documents.select("row", "key", "print", "points", "sha").join(last, "row"), "members", keep=True)
     rank = F.struct((-F.col("points")).alias("fewer"), F.col("key").isNull().alias("lacks"), F.col("key"), F.col("row"))
     groups = members.groupBy("level", "name").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("stays")).where("size > 1")
-    groups = written(groups.select("level", "name", "size", F.col("stays.key").alias("keep"), F.col("stays.row").alias("keep_row")), "groups")
+    groups = written(groups.select("level", "name", "size", F.col("stays.key").alias("keep"), F.col("stays.row").alias("keep_row")), "groups", keep=True)
     alone = F.col("size").isNull()
     return members.join(groups, ["level", "name"], "left").select(
-        F.col("key").alias(key),
-        F.when(alone, F.col("key")).otherwise(F.col("keep")).alias("keep_id"),
-        F.coalesce(F.col("size"), F.lit(1)).alias("group_size"),
+        "key",
+        "print",
+        F.when(alone, F.col("key")).otherwise(F.col("keep")).alias("keep"),
+        F.coalesce(F.col("size"), F.lit(1)).alias("size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        "sha",
     )
 
 
-def drop_exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of df that exact_groups keeps, with all their columns.
+def exact_groups(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """key, keep_id, group_size, kept and text_sha256 of every row of df, rows that go included.
+
+    Texts are equal when they are identical after the characters of [\\x20\\x09-\\x0D] are deleted; a null text is
+    empty. Of equal texts, the row with the most code points stays, then the one with the smallest key (null last); of
+    rows equal in both, any one. text_sha256: of the normalised text in UTF-8. An empty table gives an empty result.
+    Columns of df other than key and text are neither read nor returned. A key that is named as a column of the result
+    is a ValueError.
+    """
+    no_clash(key, "keep_id", "group_size", "kept", "text_sha256")
+    with scratch():
+        found = _grouped(df, key, text, block_bytes)
+    return found.select(F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+
+
+def drop_exact_duplicates(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of df that exact_groups keeps, with all their columns: one of each group of equal normalised texts.
 
-    Rows that share a key and are the same in every column count as one. A row without a key is found again by its
-    normalised text. Rows of one key with different texts stand or fall together.
+    Rows are told apart by key and text, null keys included, so that rows of one key with different texts are each
+    judged by their own text. Of rows equal in key and text, whatever their other columns, one stays; such rows, and
+    only they, move once more. Other columns may be of any type.
     """
-    kept = exact_groups(df, key, text).where("kept").select(F.col(f"`{key}`").alias("__key"), "text_sha256")
-    column = F.col(f"`{key}`")
-    named = df.where(column.isNotNull()).join(kept.where("__key IS NOT NULL"), column == F.col("__key"), "left_semi").dropDuplicates()
-    bare = F.sha2(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), BLANKS.decode(), "").cast("binary"), 256)
-    nameless = df.where(column.isNull()).withColumn("__sha", bare)
-    nameless = nameless.join(kept.where("__key IS NULL"), F.col("__sha") == F.col("text_sha256"), "left_semi").dropDuplicates(["__sha"])
-    return named.unionByName(nameless.drop("__sha"))
+    with scratch():
+        with scratch():
+            found = _grouped(df, key, text, block_bytes)
+            found = written(found.select("key", "print", "kept"), "judged", keep=True)
+        kept = written(found.where("kept").select("key", "print"), "kept", keep=True)
+        again = found.groupBy("key", "print").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")).where("kept AND rows > 1")
+        again = written(again.select("key", "print"), "again", keep=True)
+    marked = df.withColumn("__print", text_print(text))
+
+    def chosen(rows: DataFrame, how: str = "left_semi") -> DataFrame:
+        return marked.join(rows, marked[f"`{key}`"].eqNullSafe(rows["key"]) & (marked["__print"] == rows["print"]), how)
+
+    if again.isEmpty():
+        return chosen(kept).drop("__print")
+    once = kept.join(again, kept["key"].eqNullSafe(again["key"]) & (kept["print"] == again["print"]), "left_anti")
+    return chosen(once).unionByName(chosen(again).dropDuplicates([key, "__print"])).drop("__print")

@@ -3,9 +3,9 @@
 Texts are read in batches. Every batch indexes the non-overlapping blocks of ANCHOR words of its texts and probes with
 every rolling window of ANCHOR words; two equal windows of at least 2 * ANCHOR - 1 words share at least one anchor.
 Hashes travel sorted and packed, one blob for each batch and bucket of hashes, and meet in their bucket; batches hear
-which of their anchors others hold too. Only windows around such hits are looked up in turn, by 95-bit fingerprints,
-which finds each one's smallest document; consecutive hits are the maximal exact repeats. A common passage costs each
-batch that holds it a few bytes, whatever the number of its documents; texts move once.
+which of their anchors others hold too. Only windows around such hits are looked up in turn, by 95 bits made of their
+words' BLAKE2b digests, which finds each one's smallest document; consecutive hits are the maximal exact repeats. A
+common passage costs each batch that holds it a few bytes, whatever the number of its documents; texts move once.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from eventloom.llm.common import no_clash
 from eventloom.llm.words import Words
 
-#: Batches for each shuffle partition.
-BATCHES = 3
+#: Bytes of text in a batch, on average, and batches for each bucket of hashes.
+BATCH_BYTES, BATCHES = 4 << 20, 3
 NO_KEY = np.int64(2**63 - 1)
 _PROBES = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("probes", pa.binary()), ("anchors", pa.binary())])
 _HITS = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("hits", pa.binary())])
@@ -60,7 +61,9 @@ def _anchor_windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np
     return words.windows(size), whole, whole & (place % size == 0)
 
 
-def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, partitions: int | None = None, with_spans: bool = False) -> DataFrame:
+def substring_duplicates(
+    df: DataFrame, key: str, text: str, window: int = 13, partitions: int | None = None, with_spans: bool = False, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """key, n_words, n_removed and kept_sha256 of every row of df: words that repeat text of smaller keys go.
 
     Words are runs of bytes other than [\\x20\\x09-\\x0D]. A window is `window` consecutive words of one text. A word
@@ -68,11 +71,19 @@ def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, p
     stands. kept_sha256: of the words that stay, joined by one space. with_spans: also spans, the maximal repeats as
     array of (start, end) in words. key is an integer; a null key is larger than any other, and null keys don't repeat
     each other; rows of equal keys don't either. A null text has no words. A text of any length is read whole; an
-    empty table gives an empty result; other columns of df are neither read nor returned.
+    empty table gives an empty result; other columns of df are neither read nor returned. A key of another type, or
+    one that is named as a column of the result, is a ValueError.
+
+    The number of batches, and of buckets of hashes, is that of all texts' bytes over batch_bytes, unless partitions
+    names that of buckets. A batch and a bucket are what one task holds, some thirty times batch_bytes in all; with n of
+    both, n * n blobs are sent, so that batch_bytes has to grow with the root of the input: 4 MB are right up to some
+    100 GB, 64 MB for 10 TB, 256 MB for 100 TB.
     """
+    no_clash(key, "n_words", "n_removed", "kept_sha256", "spans")
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be a column of integers, not {df.schema[key].dataType.simpleString()}")
     anchor = (window + 1) // 2
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or 1 + (df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0) // (BATCHES * batch_bytes)
     batches, buckets = BATCHES * parts, parts
     source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     source = source.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)).cast("int")).repartition(parts, "batch")
@@ -119,7 +130,7 @@ def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, p
         for j in range(1, window - anchor + 1):
             near[:-j] |= hit[j:]
         at = np.flatnonzero(near & words.whole(window))
-        a, b, least, most = _merged(words.windows(window, 3)[at], words.windows(window, 5)[at].astype(np.uint32) & ~SEVERAL, keys[words.owner()[at]])[:4]
+        a, b, least, most = _merged(words.windows(window)[at], words.windows(window, 1)[at].astype(np.uint32) & ~SEVERAL, keys[words.owner()[at]])[:4]
         b |= np.where(most > least, SEVERAL, np.uint32(0))
         cuts = np.searchsorted(_bucket(a, buckets), np.arange(buckets + 1)).tolist()
         some = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
@@ -167,7 +178,7 @@ def substring_duplicates(df: DataFrame, key: str, text: str, window: int = 13, p
         later = np.sort(np.frombuffer(b"".join(heard.column("all").to_pylist()), "<u8"))
         mixed = np.frombuffer(b"".join(heard.column("some").to_pylist()), _SOME)
         if len(later) or len(mixed):
-            a = words.windows(window, 3)
+            a = words.windows(window)
             whole = words.whole(window)
             drop = whole & _within(a, later)
             mixed = mixed[np.argsort(mixed["a"], kind="stable")]

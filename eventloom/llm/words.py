@@ -1,86 +1,97 @@
-"""Words and word windows of many texts at once, as numpy arrays of 64-bit hashes."""
+"""Words and word windows of many texts at once, as numpy arrays of digests."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Maps A-Z to a-z and leaves other bytes alone.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-#: Bytes that are hashed at a time, unless one word is longer.
-SLICE = 1 << 19
-BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words of at most so many bytes are digested from two integers that hold them, longer ones by BLAKE2b.
+SHORT = 15
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Odd numbers without meaning, for the two halves of a digest.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Spreads the bits of unsigned 64-bit integers, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Spreads the bits of unsigned 64-bit integers, one to one, in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
 
+def _digested(low: np.ndarray, high: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
+    """64 bits of pairs of integers. Adding what was mixed makes each step one-way: no partner can be computed for a pair."""
+    first = mix(low * a + b) + low
+    return mix(first * b + high) + high
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE)
-        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _POWERS[i] = np.cumprod(factors)
-    return _POWERS
+
+def _joined(x: np.ndarray, y: np.ndarray, shift: int) -> np.ndarray:
+    """A digest of x at each place and of y `shift` places on; at the last places, of x alone."""
+    out = x * _ODD[0]
+    if shift < len(y):
+        out[: len(y) - shift] += y[shift:]
+    return mix(out)
 
 
 class Words:
-    """The words of some texts. hashes: of all words, text after text; text i has words first[i] ... first[i+1]-1."""
+    """The words of some texts. halves: both halves of all words' digests, text after text; text i has words first[i] ... first[i+1]-1."""
 
     def __init__(self, raws: list[bytes], lower: bool = False):
-        joined = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+        data = b" ".join([b"", *raws, bytes([32]) * 16])
         if lower:
-            joined = LOWER[joined]
+            data = data.lower()  # of bytes: A-Z alone
+        joined = np.frombuffer(data, np.uint8)
         space = SPACE[joined]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         starts, ends = edge[::2], edge[1::2]
         offsets = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) if raws else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.searchsorted(starts, offsets)]).astype(np.int64)
         self.counts = np.diff(self.first)
-        self.hashes = np.empty(len(starts), np.uint64)
-        i = 0
-        while i < len(starts):
-            lo = int(starts[i])
-            j = max(i + 1, int(np.searchsorted(ends, lo + SLICE, "right")))
-            hi = int(ends[j - 1])
-            power, inverse = _powers(hi - lo)
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((joined[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=sums[1:])
-            at = starts[i:j] - lo
-            self.hashes[i:j] = mix((sums[ends[i:j] - lo] - sums[at]) * inverse[at])
-            i = j
+        size = ends - starts
+        eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from each byte on
+        low = eight[starts] & _MASKS[np.minimum(size, 8)]
+        high = eight[np.minimum(starts + 8, len(data) - 8)] & _MASKS[np.clip(size - 8, 0, 7)]
+        high |= size.astype(np.uint64) << np.uint64(56)
+        self.halves = _digested(low, high, _ODD[0], _ODD[1]), _digested(low, high, _ODD[2], _ODD[3])
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+            both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            self.halves[0][long], self.halves[1][long] = both[:, 0], both[:, 1]
 
     def __len__(self) -> int:
-        return len(self.hashes)
+        return len(self.halves[0])
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def windows(self, size: int, seed: int = 1) -> np.ndarray:
-        """A hash of the size words from each word on, also where they run into the next text; see whole()."""
-        n = len(self.hashes)
-        out = np.zeros(n, np.uint64)
-        factor = (seed * 0xD1342543DE82EF95 | 1) & (1 << 64) - 1
-        weight = 1
-        for j in range(size):
-            if n > j:
-                out[: n - j] += self.hashes[j:] * np.uint64(weight)
-            weight = weight * factor & (1 << 64) - 1
-        return mix(out ^ np.uint64(seed))
+    def windows(self, size: int, half: int = 0) -> np.ndarray:
+        """A digest of the size words from each word on, also where they run into the next text; see whole().
+
+        Blocks of 1, 2, 4 ... words are joined to `size` of them. No step is linear in the words, and both halves
+        together are 128 bits.
+        """
+        block, made, done, width = self.halves[half], None, 0, 1
+        while width <= size:
+            if size & width:
+                made = block if made is None else _joined(made, block, done)
+                done += width
+            if 2 * width <= size:
+                block = _joined(block, block, width)
+            width *= 2
+        return made
 
     def whole(self, size: int) -> np.ndarray:
         """Whether the size words from each word on are of one text."""
-        inside = np.ones(len(self.hashes), bool)
+        inside = np.ones(len(self), bool)
         last, first = self.first[1:], self.first[:-1]
         for j in range(1, size):
             inside[(last - j)[last - j >= first]] = False

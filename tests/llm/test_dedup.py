@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.llm import exact, near, substring
 
@@ -75,6 +76,19 @@ def test_exact_edge_cases(spark):
     assert exact.exact_groups(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_dropping_exact_copies(spark):
+    """Rows of one key with different texts, equal rows, no keys, and a column that can't be compared."""
+    rows = [(1, "x"), (2, "y"), (2, "x"), (2, "y"), (None, "x "), (None, "z"), (None, "z"), (3, None), (4, " ")]
+    df = frame(spark, rows).withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id")))
+    got = exact.drop_exact_duplicates(df, "doc_id", "text")
+    assert got.columns == df.columns
+    # x: the null key's text is the longest; nothing and " ": the latter is longer
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "x "), (0, "z"), (2, "y"), (4, " ")]
+    assert exact.drop_exact_duplicates(df.limit(0), "doc_id", "text").count() == 0
+    with pytest.raises(ValueError):
+        exact.exact_groups(df.withColumnRenamed("doc_id", "keep_id"), "keep_id", "text")
+
+
 # substrings
 
 
@@ -109,6 +123,15 @@ def test_substring_edge_cases(spark):
     got = substring.substring_duplicates(frame(spark, rows), "doc_id", "text").collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(-7, 0), (0, 20), (5, 20), (5, 20), (9, 40 - 0), (1 << 40, 20)]
     assert substring.substring_duplicates(frame(spark, rows).limit(0), "doc_id", "text").count() == 0
+    for wrong in (frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")), frame(spark, rows).drop("n_words").withColumnRenamed("doc_id", "n_words")):
+        with pytest.raises(ValueError):
+            substring.substring_duplicates(wrong, wrong.columns[0], "text")
+
+
+def test_batches_follow_the_bytes(spark):
+    rows = corpus(7)
+    got = substring.substring_duplicates(frame(spark, rows), "doc_id", "text", batch_bytes=900).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == plain_substring(rows)
 
 
 # near
@@ -152,36 +175,72 @@ def test_near_in_a_large_region(spark):
     assert got == {i: 0 for i in range(90)} | {500: 500}
 
 
-def test_near_in_a_family_below_the_threshold(spark):
-    """1000 sets of mean similarity 0.6 to 0.7, of which few are linked, against all pairs."""
-    import numpy as np
+def families(n, size, own, changes=0, seed=8):
+    """(rows, pairs that are linked) of n texts of `size` shingles on one template: texts 2k and 2k + 1 are partners.
 
-    rng = random.Random(8)
-    base = [f"w{i}" for i in range(204)]
+    A text has `own` words that no other has, and its partner's other words; between any others fewer are shared.
+    """
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(size + 4)]
     rows = []
-    for i in range(1000):
-        own = list(base)
-        for at in rng.sample(range(204), 4):
-            own[at] = f"new{i}-{at}"
-        rows.append((i, " ".join(own)))
-    sets = [{" ".join(w[p : p + 5]) for p in range(200)} for w in (t.split() for _, t in rows)]
+    for k in range(n // 2):
+        shared = list(base)
+        for at in rng.sample(range(2, size), changes):
+            shared[at] = f"p{k}-{at}"
+        for side in (0, 1):
+            text = list(shared)
+            for at in rng.sample(range(2, size), own):
+                text[at] = f"s{k}-{side}-{at}"
+            rows.append((2 * k + side, " ".join(text)))
+    return rows
+
+
+def all_pairs(rows):
+    """The groups by all pairs, and the mean similarity, from a matrix of shared shingles."""
+    import numpy as np
+
+    sets = [{" ".join(w[p : p + 5]) for p in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
     number = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
     has = np.zeros((len(sets), len(number)), np.float32)
     for i, own in enumerate(sets):
         has[i, [number[s] for s in own]] = 1
     shared = has @ has.T
-    size = has.sum(1)
-    similar = shared / (size[:, None] + size - shared)
-    assert 0.6 < similar[np.triu_indices(1000, 1)].mean() < 0.7
-    label = np.arange(1000)
-    linked = 100 * shared >= 75 * (size[:, None] + size - shared)
+    n = has.sum(1)
+    united = n[:, None] + n - shared
+    linked = 100 * shared >= 75 * united
+    label = np.arange(len(rows))
     while True:
-        lower = np.where(linked, label, 1000).min(1)
+        lower = np.where(linked, label, len(rows)).min(1)
         if (lower == label).all():
-            break
+            return dict(enumerate(label.tolist())), float((shared / united)[np.triu_indices(len(rows), 1)].mean())
         label = lower
+
+
+@pytest.mark.parametrize("own,changes,low,high", [(4, 0, 0.6, 0.72), (2, 3, 0.62, 0.72)])
+def test_near_in_a_family_below_the_threshold(spark, own, changes, low, high):
+    """1000 sets of a mean similarity below the threshold, of which few or only partners are linked, against all pairs."""
+    rows = families(1000, 200, own, changes)
+    want, mean = all_pairs(rows)
+    assert low < mean < high
     got = {r.doc_id: r.component_id for r in near.near_groups(frame(spark, rows), "doc_id", "text", partitions=4).collect()}
-    assert got == dict(enumerate(label.tolist()))
+    assert got == want
+
+
+def test_near_where_partitions_cut_regions(spark):
+    """Small regions and large ones over many partitions: 40 pairs, a group of 300 near copies, a family of few links."""
+    rng = random.Random(9)
+    rows = families(400, 200, 2, 4)
+    for k in range(40):
+        words = [f"q{k}-{i}" for i in range(100)]
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join([*words[:-1], "end"]))]
+    base = [f"g{i}" for i in range(150)]
+    for k in range(300):
+        own = list(base)
+        own[rng.randrange(150)] = f"g-{k}"
+        rows.append((2000 + k, " ".join(own)))
+    want = plain_near(rows[400:]) | {i: (200, c, c == i) for i, c in all_pairs(rows[:400])[0].items()}
+    got = near.near_groups(frame(spark, rows), "doc_id", "text", partitions=60).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
 def test_near_edge_cases(spark):
@@ -191,7 +250,12 @@ def test_near_edge_cases(spark):
     assert got == [(0, 0, 0, True), (0, 2, 2, False), (1, 1, 1, True), (2, 2, 2, True), (2, 2, 2, True), (3, 0, 3, True), (4, 1, 1, False), (6, 1, 6, True)]
     assert near.near_groups(df.limit(0), "doc_id", "text").count() == 0
     assert near.near_groups(df.where("doc_id = 6"), "doc_id", "text").first().component_id == 6
-    assert sorted(r.doc_id or 0 for r in near.drop_near_duplicates(df, "doc_id", "text").collect()) == [0, 0, 1, 2, 2, 3, 6]
+    assert sorted(r.doc_id or 0 for r in near.drop_near_duplicates(df, "doc_id", "text").collect()) == [0, 1, 2, 3, 6]
+    bare = frame(spark, [(None, "a b c d e f"), (None, "A b c d e f"), (None, None), (None, "other words")])
+    assert len(near.drop_near_duplicates(bare, "doc_id", "text").collect()) == 3
+    assert near.drop_near_duplicates(df.limit(0), "doc_id", "text").columns == df.columns
+    with pytest.raises(ValueError):
+        near.near_groups(df.withColumnRenamed("doc_id", "kept"), "kept", "text")
 
 
 def test_recall_of_the_forest():
@@ -216,7 +280,35 @@ def test_words_are_hashed_as_split():
     assert words.counts.tolist() == [len(r.split()) for r in raws]
     flat = [w for r in raws for w in r.split()]
     named = {}
-    for w, h in zip(flat, words.hashes.tolist(), strict=True):
+    for w, *h in zip(flat, *(x.tolist() for x in words.halves), strict=True):
         assert named.setdefault(w, h) == h
-    assert len(set(named.values())) == len(named)
-    assert len(Words([])) == 0
+    for half in (0, 1):
+        assert len({h[half] for h in named.values()}) == len(named)
+    assert len(Words([])) == 0 and Words([b"Ab \xc3\x89"], lower=True).halves[0].tolist() == Words([b"ab \xc3\x89"]).halves[0].tolist()
+
+
+def test_windows_are_told_apart():
+    from eventloom.llm.words import Words
+
+    rng = random.Random(4)
+    for size in (1, 2, 3, 5, 7, 13):
+        raws = [" ".join(rng.choices(["a", "b", "word", "longer-than-fifteen-bytes"], k=size)).encode() for _ in range(300)]
+        words = Words(raws)
+        for half in (0, 1):
+            found = words.windows(size, half)[words.first[:-1]].tolist()
+            assert len(dict(zip(raws, found, strict=True))) == len(set(found)) == len(set(raws))
+            assert all(x == y for r, x in zip(raws, found, strict=True) for s, y in zip(raws, found, strict=True) if r == s)
+
+
+def thue_morse(bits=10):
+    """Two words of 2 ** bits bytes whose difference any polynomial in an odd number modulo 2 ** 64 sends to zero."""
+    one = [bin(i).count("1") % 2 for i in range(1 << bits)]
+    return ("".join("ab"[x] for x in one), "".join("ba"[x] for x in one))
+
+
+def test_words_that_a_plain_polynomial_confuses(spark):
+    x, y = thue_morse()
+    rows = [(1, x), (2, y), (3, " ".join([x] * 13)), (4, " ".join([y] * 13))]
+    got = {r.doc_id: r.n_removed for r in substring.substring_duplicates(frame(spark, rows), "doc_id", "text").collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in near.near_groups(frame(spark, rows), "doc_id", "text").collect()} == {i: i for i in range(1, 5)}
