@@ -37,21 +37,21 @@ def lines_of(text: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
-def boilerplate(df: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """host and boilerplate, an array, from __host and __lines. Hosts with fewer than min_pages pages, or no name, have none."""
+def boilerplate(df: DataFrame, ratio: float) -> DataFrame:
+    """host and boilerplate, an array, from __host and __lines. A host without a name has none, nor has one of a single page."""
     named = df.where("__host != ''")
-    totals = named.groupBy("__host").agg(F.count(F.lit(1)).alias("__pages")).where(F.col("__pages") >= min_pages)
+    totals = named.groupBy("__host").agg(F.count(F.lit(1)).alias("__pages"))
     counts = named.select("__host", F.explode(F.array_distinct("__lines")).alias("__line")).groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__n"))
     often = counts.where("__n > 1").join(totals, "__host").where(F.col("__n") / F.col("__pages") > ratio)
     return often.groupBy("__host").agg(F.collect_set("__line").alias("__boilerplate"))
 
 
-def without_boilerplate(df: DataFrame, url: str, text: Column, ratio: float = 0.3, min_pages: int = 5) -> DataFrame:
+def without_boilerplate(df: DataFrame, url: str, text: Column, ratio: float = 0.3) -> DataFrame:
     """df with host, n_lines, n_dropped and kept_text: lines on more than `ratio` of their host's pages go.
 
     text: a column of texts with line ends, such as html_text("html"). Lines are compared without blanks around them; a
-    line that a page repeats counts once for the page and goes wherever it stands. Pages of hosts with fewer than
-    min_pages pages, and pages without a host, keep everything. A null or empty text has no lines and an empty
+    line that a page repeats counts once for the page and goes wherever it stands. A line on one page of its host only
+    stays, whatever the ratio; pages without a host keep everything. A null or empty text has no lines and an empty
     kept_text, and its page counts in its host's total; so do repeated rows. An empty table stays empty; columns of
     these names are replaced.
     """
@@ -59,7 +59,7 @@ def without_boilerplate(df: DataFrame, url: str, text: Column, ratio: float = 0.
         raise ValueError("ratio lies above 0 and is at most 1")
     cut = df.withColumns({"__host": host_of(url), "__lines": lines_of(text)})
     # written, so that its size is known: broadcast below Spark's limit, else a join whose hot hosts Spark can split
-    found = written(boilerplate(cut.select("__host", "__lines"), ratio, min_pages).withColumnRenamed("__host", "__of"), "boilerplate")
+    found = written(boilerplate(cut.select("__host", "__lines"), ratio).withColumnRenamed("__host", "__of"), "boilerplate")
     joined = cut.join(found, F.col("__host") == F.col("__of"), "left")
     kept = F.when(F.col("__boilerplate").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains(F.col("__boilerplate"), x)))
     out = joined.withColumn("__kept", kept).withColumns(

@@ -12,17 +12,15 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
 from fractions import Fraction
-from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import dense_number
+from eventloom.llm.common import dense_number, key_byte, written
 
-#: Slots of a piece of the schedule.
-PERIOD = 1024
+#: Slots of a schedule at most, but for one more of each source, and the sources at most.
+SLOTS, SOURCES = 1 << 18, 1 << 16
 #: Blocks of a source whose slots are one row of the schedule that is sent out.
 SENT = 64
 
@@ -43,11 +41,6 @@ def _dealt(shares: list[int]) -> Iterator[int]:
         slot += 1
 
 
-def earliest_deadline_first(counts: list[int]) -> list[int]:
-    """The source of each of sum(counts) slots, counts[s] of them for source s."""
-    return list(islice(_dealt(counts), sum(counts)))
-
-
 def exact_shares(weights: list[float]) -> list[int]:
     """Whole numbers in exactly the proportion of weights."""
     exact = [Fraction(w) for w in weights]
@@ -55,82 +48,72 @@ def exact_shares(weights: list[float]) -> list[int]:
     return [int(w * scale) for w in exact]
 
 
-@dataclass
-class Phase:
-    """Blocks first ... last-1 of a source, offsets[i] being the slot in a period of the source's i-th block in it."""
-
-    source: str | None
-    first: int
-    last: int
-    start: int
-    period: int
-    offsets: list[int]
+def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, float]) -> list[str | None]:
+    """The source of each slot: as many slots as there are blocks, each source as often as it has blocks.
 
-    def slot(self, block: int) -> int:
-        turn, at = divmod(block - self.first, len(self.offsets))
-        return self.start + turn * self.period + self.offsets[at]
-
-
-def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int = PERIOD) -> list[Phase]:
-    """The schedule of all blocks, in pieces of `period` slots. Every block gets one slot; slots 0, 1, 2 ... have one block each."""
+    Of equal deadlines the smaller source comes first, null before all.
+    """
     left = {s: n for s, n in sorted(blocks.items(), key=lambda x: (x[0] is not None, x[0])) if n}
-    done = dict.fromkeys(left, 0)
-    found: list[Phase] = []
-    slot = 0
+    slots: list[str | None] = []
     while left:
         names = list(left)
-        if len(names) == 1:
-            found.append(Phase(names[0], done[names[0]], done[names[0]] + left[names[0]], slot, 1, [0]))
-            break
-        dealt = _dealt(exact_shares([weights[s] for s in names]))
-        while all(left.values()):  # until a source runs dry
-            places: list[list[int]] = [[] for _ in names]
-            length = 0
-            while length < period:
-                s = next(dealt)
-                places[s].append(length)
-                length += 1
-                left[names[s]] -= 1
-                if not left[names[s]]:
-                    break
-            for name, own in zip(names, places, strict=True):
-                if own:
-                    found.append(Phase(name, done[name], done[name] + len(own), slot, length, own))
-                    done[name] += len(own)
-            slot += length
-        left = {s: n for s, n in left.items() if n}
-    return found
+        for s in _dealt(exact_shares([weights[n] for n in names])):
+            slots.append(names[s])
+            left[names[s]] -= 1
+            if not left[names[s]]:  # a source runs dry
+                del left[names[s]]
+                break
+    return slots
+
+
+def default_weight(rows: int) -> int:
+    """The whole part of the square root: large sources weigh more, but less than in proportion."""
+    return math.isqrt(rows)
+
+
+def rows_of_block(rows: int, least: int = 64, slots: int = SLOTS) -> int:
+    """Rows of a block: as few as give at most `slots` blocks, were there one source, and at least `least`."""
+    return max(least, -(-rows // slots))
 
 
 def mixed(
-    df: DataFrame, key: str, source: str, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, power: float = 0.5, period: int = PERIOD, order_by: str | None = None
+    df: DataFrame, key: str, source: str, weights: Mapping[str | None, float] | None = None, block_rows: int | None = None, order_by: str | None = None, slots: int = SLOTS
 ) -> DataFrame:
     """Adds source_rank, block, slot and position: the place of every row in the mixture. No row goes or repeats.
 
-    weights: target weight of each source (null is a source like others); by default (rows of the source) ** power.
-    source_rank counts a source's rows from 0 in the order (bucket of the key's hash, key, order_by); block is
+    weights: target weight of each source (null is a source like others); by default the whole part of the root of its
+    rows. source_rank counts a source's rows from 0 in the order (first byte of the key's MD5, key, order_by); block is
     source_rank // block_rows; slot is the block's place in the schedule and position = slot * block_rows + rank in the
     block, unique, with gaps only after the sources' last blocks. Null keys come first; rows equal in key and order_by
-    are interchangeable. An empty table stays empty. The driver gets one count for each source, and the schedule it
-    sends out has one number for each block. Columns of these names are replaced.
+    are interchangeable. An empty table stays empty. Columns of these names are replaced; a key or source of such a name
+    is a ValueError.
+
+    block_rows: by default 64, or as many as make at most `slots` blocks, so that the schedule, which the driver makes,
+    is bounded whatever the number of rows: slots and one more for each source. More than SOURCES sources are a
+    ValueError. The schedule is written as a table, and Spark joins it by what it knows of its size.
     """
     names = ("source_rank", "block", "slot", "position")
+    if wrong := {key, source, order_by} & set(names):
+        raise ValueError(f"{sorted(wrong)} are columns of the result: rename them first")
     df = df.drop(*names)
-    rows = {r[0]: r[1] for r in df.groupBy(F.col(f"`{source}`")).agg(F.count(F.lit(1))).collect()}
-    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
-    target = {s: float(n) ** power for s, n in rows.items()} if weights is None else dict(weights)
+    counted = df.groupBy(F.col(f"`{source}`")).agg(F.count(F.lit(1))).limit(SOURCES + 1).collect()
+    if len(counted) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: put the small ones together")
+    rows = {r[0]: r[1] for r in counted}
+    size = block_rows or rows_of_block(sum(rows.values()), slots=slots)
+    target = {s: default_weight(n) for s, n in rows.items()} if weights is None else dict(weights)
     if wrong := [s for s in rows if not target.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {wrong[:5]}")
-    slots: dict[str | None, list[int]] = {}
-    for p in phases(blocks, target, period):
-        slots.setdefault(p.source, []).extend(map(p.slot, range(p.first, p.last)))
-    sent = [(s, at // SENT, own[at : at + SENT]) for s, own in slots.items() for at in range(0, len(own), SENT)]
-    schedule = df.sparkSession.createDataFrame(sent, f"__name {df.schema[source].dataType.simpleString()}, __part long, __slots array<long>")
+    own: dict[str | None, list[int]] = {}
+    for slot, s in enumerate(schedule({s: -(-n // size) for s, n in rows.items()}, target)):
+        own.setdefault(s, []).append(slot)
+    sent = [(s, at // SENT, x[at : at + SENT]) for s, x in own.items() for at in range(0, len(x), SENT)]
+    kind = df.schema[source].dataType.simpleString()
+    placing = written(df.sparkSession.createDataFrame(sent, f"__name {kind}, __part long, __slots array<long>"), "schedule")
     order = [F.col(f"`{key}`").asc_nulls_first()] + ([F.col(f"`{order_by}`").asc_nulls_first()] if order_by else [])
-    ranked = dense_number(df, source, order, "source_rank", F.xxhash64(F.col(f"`{key}`")))
-    placed = ranked.withColumn("block", F.floor(F.col("source_rank") / block_rows))
-    part = F.floor(placed["block"] / SENT) == schedule["__part"]
-    placed = placed.join(F.broadcast(schedule), placed[source].eqNullSafe(schedule["__name"]) & part)
+    ranked = dense_number(df, source, order, "source_rank", key_byte(key))
+    placed = ranked.withColumn("block", F.floor(F.col("source_rank") / size))
+    placed = placed.join(placing, placed[source].eqNullSafe(placing["__name"]) & (F.floor(placed["block"] / SENT) == placing["__part"]))
     placed = placed.withColumn("slot", F.element_at("__slots", (F.col("block") % SENT + 1).cast("int")))
-    placed = placed.withColumn("position", F.col("slot") * block_rows + F.col("source_rank") % block_rows)
+    placed = placed.withColumn("position", F.col("slot") * size + F.col("source_rank") % size)
     return placed.select(*(F.col(f"`{c}`") for c in df.columns), *names)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from eventloom.llm import lines
-from eventloom.llm.queries import LINE_PAGES, LINE_RATIO, SHARDS
+from eventloom.llm.mixing import SLOTS
+from eventloom.llm.queries import LINE_RATIO, SHARDS
 
 
 def _sharding() -> str:
@@ -70,6 +71,36 @@ NEAR = r"""
     """
 
 
+def _mixing() -> str:
+    """The schedule slot by slot: done counts a source's blocks, since those of the phase. Integers only."""
+    return f"""
+    WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+    sized AS (SELECT greatest(64, (sum(n) + {SLOTS - 1}) // {SLOTS})::BIGINT AS size FROM counts),
+    sources AS (
+      SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS i, source, floor(sqrt(n))::BIGINT AS weight, ((n + size - 1) // size)::BIGINT AS blocks
+      FROM counts CROSS JOIN sized),
+    fixed AS (SELECT list(weight ORDER BY i) AS ws, list(blocks ORDER BY i) AS bs, range(1, count(*) + 1) AS every, sum(blocks) AS slots FROM sources),
+    dealt AS (
+      SELECT -1::BIGINT AS slot, 0::BIGINT AS start, list_transform(every, lambda i: 0::BIGINT) AS since, list_transform(every, lambda i: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM fixed
+      UNION ALL
+      SELECT slot + 1, CASE WHEN done[pick] + 1 = bs[pick] THEN slot + 2 ELSE start END,
+        list_transform(every, lambda i: CASE WHEN done[pick] + 1 = bs[pick] THEN 0 WHEN i = pick THEN since[i] + 1 ELSE since[i] END),
+        list_transform(every, lambda i: CASE WHEN i = pick THEN done[i] + 1 ELSE done[i] END), pick
+      FROM (
+        SELECT * EXCLUDE (pick), list_min(list_transform(
+            list_filter(every, lambda i: done[i] < bs[i] AND since[i] * total // ws[i] <= slot + 1 - start),
+            lambda i: {{'due': ((since[i] + 1) * total + ws[i] - 1) // ws[i], 'i': i}})).i AS pick
+        FROM (
+          SELECT *, list_sum(list_transform(list_filter(every, lambda i: done[i] < bs[i]), lambda i: ws[i]))::BIGINT AS total
+          FROM dealt CROSS JOIN fixed WHERE slot + 1 < slots))),
+    slots AS (SELECT slot, pick, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM dealt WHERE slot >= 0),
+    ranked AS (
+      SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 2), doc_id NULLS FIRST) - 1 AS source_rank FROM documents)
+    SELECT doc_id, ranked.source, source_rank, source_rank // size AS block, slot, slot * size + source_rank % size AS position
+    FROM ranked CROSS JOIN sized JOIN sources ON ranked.source IS NOT DISTINCT FROM sources.source JOIN slots ON pick = i AND slots.block = source_rank // size
+    """
+
+
 def _lines() -> str:
     quoted = {k: v.replace("'", "''") for k, v in (("host", lines.HOST), ("silent", lines.SILENT), ("blocks", lines.BLOCKS), ("tags", lines.TAGS))}
     return r"""
@@ -81,12 +112,12 @@ def _lines() -> str:
     totals AS (SELECT host, count(*) AS pages FROM cut WHERE host <> '' GROUP BY host),
     often AS (
       SELECT host, line FROM (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(l)) AS line FROM cut WHERE host <> '') GROUP BY host, line)
-      JOIN totals USING (host) WHERE pages >= {pages} AND n > 1 AND n::DOUBLE / pages > {ratio}::DOUBLE),
+      JOIN totals USING (host) WHERE n > 1 AND n::DOUBLE / pages > {ratio}::DOUBLE),
     boiler AS (SELECT host, list(line) AS b FROM often GROUP BY host),
     kept AS (SELECT page_id, host, l, CASE WHEN b IS NULL THEN l ELSE list_filter(l, lambda x: NOT list_contains(b, x)) END AS k FROM cut LEFT JOIN boiler USING (host))
     SELECT page_id, host, len(l)::BIGINT AS n_lines, (len(l) - len(k))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(k, chr(10)), '')) AS kept_sha256 FROM kept
-    """.replace("{pages}", str(LINE_PAGES)).replace("{ratio}", str(LINE_RATIO)).replace("{host}", quoted["host"]).replace("{silent}", quoted["silent"]).replace("{blocks}", quoted["blocks"]).replace("{tags}", quoted["tags"])
+    """.replace("{ratio}", str(LINE_RATIO)).replace("{host}", quoted["host"]).replace("{silent}", quoted["silent"]).replace("{blocks}", quoted["blocks"]).replace("{tags}", quoted["tags"])
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT, "op6_line_dedup": _lines(), "op8_substring_dedup": SUBSTRING, "op9_minhash_dedup": NEAR}
+    return {"op2_sharding": _sharding(), "op4_exact_dedup": EXACT, "op6_line_dedup": _lines(), "op8_substring_dedup": SUBSTRING, "op9_minhash_dedup": NEAR, "op10_mixing": _mixing()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SHARDS = 40
 PIECES = "piece_bpe_32k.model"
-LINE_RATIO, LINE_PAGES = 0.3, 5
+LINE_RATIO = 0.3
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -60,7 +60,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventloom.llm.lines import html_text, without_boilerplate
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    cleaned = without_boilerplate(pages, "url", html_text("html"), LINE_RATIO, LINE_PAGES)
+    cleaned = without_boilerplate(pages, "url", html_text("html"), LINE_RATIO)
     return cleaned.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

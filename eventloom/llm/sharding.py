@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import dense_number
+from eventloom.llm.common import dense_number, key_byte, no_clash, written
 
 #: Hex digits of an MD5 that make a uniform number; 13 digits are 52 bits, exact in a double.
 DIGITS = 13
@@ -58,14 +58,17 @@ def text_shards(df: DataFrame, key: str, text: str, weights: Sequence[float], gr
 
     size: UTF-8 bytes of the text plus extra; a null text has none and the CRC of nothing. slot: 0, 1, 2 ... without
     gaps in each shard, in the order (first byte of the key's MD5, key, size, CRC); rows equal in all of these are
-    interchangeable. The 256 values of that byte bound what one task numbers to a 256th of a shard.
+    interchangeable. The 256 values of that byte bound what one task numbers to a 256th of a shard. An empty table gives
+    an empty result; other columns of df are neither read nor returned; a key that is named as a column of the result
+    is a ValueError.
     """
+    no_clash(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     narrow = df.select(
         F.col(f"`{key}`"), (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + extra).cast("long").alias("size"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_crc32")
     )
     placed = shard_by_key(narrow, key, weights, grown)
     if not grown:
         placed = placed.withColumn("grown_shard", F.lit(None).cast("int"))
-    byte = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).cast("binary")), 1, 2), 16, 10).cast("int")
-    numbered = dense_number(placed, "shard", [F.col(f"`{key}`").asc_nulls_first(), F.col("size"), F.col("text_crc32")], "slot", byte)
+    placed = written(placed.withColumn("__byte", key_byte(key)), "placed")  # narrow; scores and sums are computed once
+    numbered = dense_number(placed, "shard", [F.col(f"`{key}`").asc_nulls_first(), F.col("size"), F.col("text_crc32")], "slot", F.col("__byte"))
     return numbered.select(F.col(f"`{key}`"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
