@@ -4,13 +4,14 @@ An automaton of the vocabulary enumerates all pieces that end at each character;
 score and its number of pieces forward. Ties are the tokenizers library's: pieces that end at a character are tried
 from the longest to the shortest and only a better score replaces one, then an unknown character, if it is no piece
 itself, at ten less than the lowest score of the vocabulary. Unknown characters count as their UTF-8 bytes if the
-vocabulary has byte pieces for these, else neighbouring ones as one.
+vocabulary has byte pieces for these, else neighbouring ones as one. Only ordinary pieces are matched: the names of
+control, unknown, unused and byte pieces, such as <s> or <0x41>, are text like any other where a text has them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import pyarrow as pa
@@ -29,9 +30,9 @@ PART = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class UnigramCounter:
-    """Counts the pieces of the best segmentation; vocabulary: (piece, score)."""
+    """Counts the pieces of the best segmentation; vocabulary: (piece, score) of ordinary pieces; byte_pieces: the bytes that have one."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True):
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_pieces: Iterable[int] = ()):
         if not vocabulary:
             raise ValueError("the vocabulary is empty")
         self.scores = {}
@@ -43,8 +44,7 @@ class UnigramCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - PENALTY
-        self.has_bytes = byte_fallback
-        self.byte_pieces = {b for b in range(256) if f"<0x{b:02X}>" in self.scores}
+        self.byte_pieces = frozenset(byte_pieces)
         # whole numbers add up exactly in any order, and no piece goes on after a word's end: words count by themselves
         exact = all(float(s).is_integer() and abs(s) < 2**31 for s in self.scores.values())
         self.by_words = exact and BLANK in self.scores and not any(BLANK in p.lstrip(BLANK) for p in self.scores)
@@ -66,7 +66,7 @@ class UnigramCounter:
                 if best[end] is None or value > best[end]:
                     raw = char.encode()
                     best[end] = value
-                    if self.has_bytes and all(b in self.byte_pieces for b in raw):
+                    if self.byte_pieces.issuperset(raw):
                         count[end] = count[end - 1] + len(raw)
                     else:
                         count[end], fused[end] = count[end - 1] + (not fused[end - 1]), True
@@ -106,13 +106,15 @@ class UnigramCounter:
         return pieces, score
 
 
-def piece_file(path: str) -> tuple[list[tuple[str, float]], bool]:
-    """(piece, score) of a SentencePiece model file, and whether it falls back to bytes."""
+def piece_file(path: str) -> tuple[list[tuple[str, float]], list[int]]:
+    """(piece, score) of the ordinary pieces of a SentencePiece model file, and the bytes that have pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
-    return pieces, any(model.is_byte(i) for i in range(model.get_piece_size()))
+    every = range(model.get_piece_size())
+    ordinary = [i for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    # a byte piece is called <0x00> ... <0xFF>
+    return [(model.id_to_piece(i), model.get_score(i)) for i in ordinary], [int(model.id_to_piece(i)[3:5], 16) for i in every if model.is_byte(i)]
 
 
 _COUNTERS: dict[str, UnigramCounter] = {}
