@@ -48,7 +48,10 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class LanguageModel:
-    """logits: for each language and bucket the bucket's share of the logit, divided by the temperature."""
+    """logits: for each language and bucket the bucket's share of the logit, divided by the temperature.
+
+    A model without languages, which has learnt from nothing, answers und, score 0, not accepted, to every text.
+    """
 
     langs: list[str]
     logits: np.ndarray
@@ -74,6 +77,8 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score from 0 to 1, and whether the prediction is accepted."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         p = self.probabilities([(t or "").encode() for t in texts])
         best = p.argmax(1).tolist() if len(texts) else []
         score = np.round(p.max(1), 6).tolist() if len(texts) else []
@@ -86,13 +91,14 @@ class LanguageModel:
 
 
 def fit(texts: list[str], langs: list[str], dim: int = 16, updates: int = 12_000, rate: float = 0.5, seed: int = 7, min_score: float = 0.5) -> LanguageModel:
-    """Trains on four fifths of the texts, whole and in short windows, and fits the temperature on the rest.
+    """Trains on four fifths of the texts, whole and in short windows from anywhere in them, and fits the temperature on the rest.
 
-    The number of updates is the same for few texts and many, so that a small sample is learnt as well.
+    The number of updates is the same for few texts and many, so that a small sample is learnt as well. Without texts the
+    model has no languages.
     """
     names = sorted(set(langs))
     if not names:
-        raise ValueError("no labelled text to learn from")
+        return LanguageModel([], np.zeros((0, 1 << BUCKET_BITS)), np.zeros(0), min_score)
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
     raws = [t.encode() for t in texts]
@@ -102,9 +108,10 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, updates: int = 12_000
     order = rng.permutation(len(raws))
     held, train = (order[::5], np.delete(order, np.s_[::5])) if len(raws) >= 10 else (order, order)
 
-    def window(raw: bytes) -> bytes:
+    def window(raw: bytes) -> bytes | None:
+        """A short piece of a text, or None for all of it."""
         if rng.random() < 0.5 or len(raw) < 40:
-            return raw
+            return None
         n = int(rng.integers(20, min(200, len(raw))))
         at = int(rng.integers(0, len(raw) - n + 1))
         return raw[at : at + n]
@@ -115,11 +122,12 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, updates: int = 12_000
         bucket, n = np.unique(np.concatenate([b[lo : max(lo, hi - k + 1)] for k, b in zip(ORDERS, buckets, strict=True)]), return_counts=True)
         return bucket, (n / max(1, n.sum())).astype(np.float32)
 
+    whole = {i: features(raws[i]) for i in train}
     epochs = -(-updates // len(train))
     steps, done = epochs * len(train), 0
     for _ in range(epochs):
         for i in rng.permutation(train):
-            bucket, share = features(window(raws[i]))
+            bucket, share = whole[i] if (part := window(raws[i])) is None else features(part)
             if not len(bucket):
                 continue
             hidden = share @ embed[bucket]
@@ -134,7 +142,7 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, updates: int = 12_000
             embed[bucket] -= np.outer(share * len(bucket) ** 0.5, back)
             done += 1
     model = LanguageModel(names, (embed.astype(np.float64) @ layer.astype(np.float64)).T.copy(), bias.astype(np.float64), min_score)
-    cut = [window(raws[i]) for i in held]
+    cut = [raws[i] if (part := window(raws[i])) is None else part for i in held]
     logs = np.log(np.maximum(model.probabilities(cut), 1e-300))
     losses = {}
     for t in np.geomspace(0.1, 10, 41):
@@ -152,21 +160,30 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, key: str, text: str, lang: str, rows: int = 4000, chars: int = 2000, min_score: float = 0.5) -> LanguageModel:
-    """Fits a model on at most `rows` labelled rows that aren't held out, the first `chars` characters of each.
+def train(df: DataFrame, key: str, text: str, lang: str, rows: int = 4000, sample_bytes: int = 16 << 20, min_score: float = 0.5) -> LanguageModel:
+    """Fits a model on whole texts of at most `rows` labelled rows that aren't held out, sample_bytes in all.
 
-    The rows are those whose keys have the smallest hashes, so that the sample doesn't depend on the order of df. The
-    key only decides what is sampled. Without a labelled row the model is None's: a ValueError.
+    The rows are those whose keys have the smallest hashes, so that the sample doesn't depend on the order of df; one
+    that doesn't fit into what is left of sample_bytes is passed over. The key only decides what is sampled. Without a
+    labelled text that has letters, or with an empty table, the model has no languages and answers und.
     """
     at = F.xxhash64(F.col(f"`{key}`"), F.lit(5))
     usable = df.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & ~held_out(key)).select(
-        at.alias("at"), F.substring(F.col(f"`{text}`"), 1, chars).alias("text"), F.col(f"`{lang}`").alias("lang")
+        at.alias("at"), F.octet_length(F.col(f"`{text}`")).alias("size"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")
     )
-    last = usable.select("at").orderBy("at").limit(rows).agg(F.max("at")).first()[0]
-    if last is None:
-        raise ValueError("no labelled text to learn from")
-    got = usable.where(F.col("at") <= last).orderBy("at", "lang", "text").limit(rows).collect()
-    got = [r for r in got if has_letter(r.text)]
+    first = usable.select("at", "size").orderBy("at", "size").limit(rows).collect()
+    left, passed = sample_bytes, []
+    for r in first:
+        if r.size > left:
+            passed.append(r)
+        else:
+            left -= r.size
+    got = []
+    if first:
+        fits = usable.where(F.col("at") <= first[-1].at)
+        if passed:
+            fits = fits.where(~F.struct("at", "size").isin([F.struct(F.lit(r.at), F.lit(r.size)) for r in passed]))
+        got = [r for r in fits.orderBy("at", "size", "lang", "text").limit(rows).collect() if has_letter(r.text)]
     return fit([r.text for r in got], [r.lang for r in got], min_score=min_score)
 
 
