@@ -83,6 +83,24 @@ def test_places_follow_the_files(spark, tmp_path):
 def test_nothing_to_learn_from(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     assert cp.language_id(spark, docs, folder).where("doc_id = 9002 OR text IS NULL").count() == 0
+    held = spark.read.parquet(f"{folder}/documents.parquet").where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2")
+    assert cp.language_id(spark, held, folder).count() == held.where("text rlike '[a-zA-Z]'").count()
+
+
+def test_an_empty_table_goes_through(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tables_of_earlier_stages_go(spark, folder):
+    import glob
+
+    from eventloom.plans.storage import shared_dir
+
+    before = set(glob.glob(f"{shared_dir(spark)}/*"))
+    cp.run(spark, folder).count()
+    left = {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in set(glob.glob(f"{shared_dir(spark)}/*")) - before}
+    assert left == {"mixing"}
 
 
 def test_queries_return_their_columns(spark, folder):
