@@ -5,11 +5,12 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.schema import KEYS, SourceNames, in_order, normalize_columns
+from eventloom.plans.storage import written
+from eventloom.schema import KEYS, SourceNames, get_global_config, in_order, normalize_columns
 
 #: Patterns for times that a cast doesn't read, tried in this order.
 TIME_PATTERNS = (
@@ -38,6 +39,16 @@ def parsed_time(column: str, kind: T.DataType) -> Column:
     return c.cast("timestamp")
 
 
+#: Names of the zone in which the calendar is read.
+UTC = {"utc", "etc/utc", "gmt", "etc/gmt", "z", "+00:00", "gmt+0", "utc+0", "etc/uct", "uct", "zulu"}
+
+
+def check_zone(spark: SparkSession) -> None:
+    """ValueError unless the session's time zone is UTC: the calendar, and times without a zone, are read in it."""
+    if (zone := spark.conf.get("spark.sql.session.timeZone")).lower() not in UTC:
+        raise ValueError(f"the session's time zone is {zone}: set spark.sql.session.timeZone to UTC")
+
+
 def is_event_log(df: object) -> bool:
     return isinstance(df, DataFrame) and tuple(df.columns[:3]) == KEYS
 
@@ -81,6 +92,23 @@ def case_offsets(counts: DataFrame, ranges: int) -> DataFrame:
     return inside.join(F.broadcast(starts), "__range").select("case_id", (F.col("__start") + F.col("__inside")).alias("before"))
 
 
+def numbered_rows(df: DataFrame, order: list[str], into: str, parts: int) -> DataFrame:
+    """df with `into`: 0, 1, 2 ... in the order of these columns. Rows are dealt into sorted ranges, counted and written
+    there, and numbered range by range; one row for each range is added up in one place."""
+    dealt = df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
+    dealt = written(dealt, "numbered")
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__inside", inside).join(F.broadcast(starts), "__range").withColumn(into, F.col("__start") + F.col("__inside") - 1).drop("__range", "__start", "__inside")
+
+
+def ordered(log: DataFrame | EventLog) -> DataFrame:
+    """The log sorted by case, time (unreadable ones last) and event, over all its partitions: for writing or looking at."""
+    return to_event_log(log).orderBy("case_id", F.col("timestamp").asc_nulls_last(), "event_id")
+
+
 def to_event_log(
     log: DataFrame | EventLog, *, column_mapping: Mapping[str, str] | None = None, order_by: str | None = None, event_ids: str = "dense", names: SourceNames | None = None, warn: bool = False
 ) -> DataFrame:
@@ -99,8 +127,11 @@ def to_event_log(
         return log.dataframe
     if not isinstance(log, DataFrame):
         raise TypeError(f"a log is a Spark DataFrame or an EventLog, not {type(log).__name__}")
+    check_zone(log.sparkSession)
     if is_event_log(log):
         return log
+    if "case_id" in log.columns and not {"timestamp", (names or get_global_config()).timestamp, *(column_mapping or {}).values()} & set(log.columns):
+        raise ValueError(f"{log.columns} has a row for each case, not for each event: a stage on cases ends a pipeline")
     if event_ids not in ("dense", "source") or event_ids == "source" and order_by is None:
         raise ValueError('event_ids is "dense", or "source" with order_by')
     tied = log.withColumn("__tie", F.col(f"`{order_by}`") if order_by else F.monotonically_increasing_id())

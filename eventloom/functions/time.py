@@ -67,10 +67,21 @@ def remaining_time(unit: str = "s") -> Column:
 CASE_TIME = Registry({"accumulated_time": accumulated_time, "time_since_last_event": time_since_last_event}, ["execution_time", "remaining_time"])
 
 
-def time_features(log: DataFrame | EventLog, case_features: str | list[str] | None = "all", event_features: str | list[str] | None = "all", time_unit: str = "s") -> DataFrame:
-    """The keys and the chosen features, case features first, in one projection over one ordering of each case."""
+def time_columns(case_features: str | list[str] | None = "all", event_features: str | list[str] | None = "all", time_unit: str = "s") -> dict[str, Column]:
+    """The chosen features of a canonical log by name, case features first."""
     chosen = resolve_features(CASE_TIME, case_features) + resolve_features(CALENDAR, event_features)
     if not chosen:
         raise ValueError("no features are chosen")
     UNITS[time_unit]
-    return to_event_log(log).select(*KEYS, *(build(time_unit).alias(name) for name, build in chosen))
+    return {name: build(time_unit) for name, build in chosen}
+
+
+def floor_day(column: str = T) -> Column:
+    """Midnight of the day of a time."""
+    return F.date_trunc("day", F.col(f"`{column}`"))
+
+
+def time_features(log: DataFrame | EventLog, case_features: str | list[str] | None = "all", event_features: str | list[str] | None = "all", time_unit: str = "s") -> DataFrame:
+    """The keys and the chosen features, case features first, in one projection over one ordering of each case."""
+    made = time_columns(case_features, event_features, time_unit)
+    return to_event_log(log).select(*KEYS, *(c.alias(name) for name, c in made.items()))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.base import NotFittedError, Parameterized
 
-class ActivityMeanRegressor:
+
+class ActivityMeanRegressor(Parameterized):
     """Predicts the mean of y over the events of the same activity; an activity that is new or null, the mean of all."""
 
     def __init__(self, activity: str = "activity", target: str = "y"):
@@ -21,7 +23,7 @@ class ActivityMeanRegressor:
 
     def predict(self, df: DataFrame, into: str = "prediction") -> DataFrame:
         if not hasattr(self, "means_"):
-            raise ValueError("ActivityMeanRegressor isn't fitted yet")
+            raise NotFittedError("ActivityMeanRegressor isn't fitted yet")
         joined = df.join(self.means_, df[self.activity] == self.means_["__activity"], "left").crossJoin(F.broadcast(self.global_mean_))
         return joined.withColumn(into, F.coalesce("__mean", "__global")).drop("__activity", "__mean", "__global")
 
@@ -57,6 +59,11 @@ def confusion(df: DataFrame, target: str, prediction: str = "prediction") -> Dat
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("actual")))
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """value and n, the most frequent first, equally frequent ones by value; a null counts as a value."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value")
+
+
 def cross_table(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """row, column, n of every pair that occurs: a cross table in long form."""
     return df.groupBy(F.col(rows).alias("row"), F.col(columns).alias("column")).agg(F.count(F.lit(1)).alias("n"))

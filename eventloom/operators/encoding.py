@@ -10,56 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.base import NotFittedError, Parameterized, checked_names
 from eventloom.eventlog import EventLog, to_event_log
 from eventloom.functions.selection import validate_columns
 from eventloom.schema import KEYS, feature_columns, in_order, prefix
 
 
-class NotFittedError(ValueError):
-    pass
-
-
-class Encoder:
-    """fit takes down the feature columns; transform returns the keys and the encoded columns."""
-
-    params: tuple[str, ...] = ()
-
-    def get_params(self) -> dict[str, object]:
-        return {p: getattr(self, p) for p in self.params}
-
-    def set_params(self, **params: object) -> Encoder:
-        if unknown := set(params) - set(self.params):
-            raise ValueError(f"unknown parameters: {sorted(unknown)}")
-        for name, value in params.items():
-            setattr(self, name, value)
-        return self
-
-    def clone(self) -> Encoder:
-        return type(self)(**self.get_params())
-
-    def __repr__(self) -> str:
-        return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in self.get_params().items())})"
+class Encoder(Parameterized):
+    """fit takes down the feature columns; transform returns the keys and the encoded columns, as they are declared."""
 
     def fit(self, log: DataFrame | EventLog) -> Encoder:
         df = to_event_log(log)
-        self._check(df)
-        self.feature_names_in_ = feature_columns(df)
+        self._check(df, names := feature_columns(df))
+        self.feature_names_in_ = names
         self.n_features_in_ = len(self.feature_names_in_)
         self._fit(df)
         return self
 
     def transform(self, log: DataFrame | EventLog) -> DataFrame:
+        df = to_event_log(log)
+        out = df.select(*KEYS, *self.columns(df))
+        checked_names(out.columns[len(KEYS) :], self.get_feature_names_out(), self)
+        return out
+
+    def columns(self, df: DataFrame) -> list[Column]:
+        """The encoded columns of a canonical log, for one projection with others."""
         if not hasattr(self, "feature_names_in_"):
             raise NotFittedError(f"{type(self).__name__} isn't fitted yet")
-        df = to_event_log(log)
         validate_columns(df.columns, self.feature_names_in_)
-        self._check(df)
-        return df.select(*KEYS, *self._columns(df))
+        self._check(df, self.feature_names_in_)
+        return self._columns(df)
 
     def fit_transform(self, log: DataFrame | EventLog) -> DataFrame:
         return self.fit(log).transform(log)
 
-    def _check(self, df: DataFrame) -> None:
+    def _check(self, df: DataFrame, names: list[str]) -> None:
         pass
 
     def _fit(self, df: DataFrame) -> None:
@@ -92,17 +77,15 @@ class Aggregation(Encoder):
     more than in proportion. engine is taken for compatibility; there is one way to compute.
     """
 
-    params = "method", "prefix_len", "engine"
-
     def __init__(self, method: str = "mean", prefix_len: int | None = None, engine: str = "spark"):
         self.method, self.prefix_len, self.engine = method, prefix_len, engine
 
-    def _check(self, df: DataFrame) -> None:
+    def _check(self, df: DataFrame, names: list[str]) -> None:
         if self.method not in METHODS:
             raise ValueError(f"method is one of {list(METHODS)}, not {self.method!r}")
         if self.prefix_len is not None and (not isinstance(self.prefix_len, int) or self.prefix_len < 1):
             raise ValueError("prefix_len is a positive integer or None")
-        wrong = {c: df.schema[c].dataType.simpleString() for c in feature_columns(df) if not isinstance(df.schema[c].dataType, T.NumericType | T.BooleanType)}
+        wrong = {c: df.schema[c].dataType.simpleString() for c in names if not isinstance(df.schema[c].dataType, T.NumericType | T.BooleanType)}
         if wrong:
             raise ValueError(f"columns that aren't numeric: {wrong}; choose others, or encode them first")
 
@@ -114,13 +97,12 @@ class Aggregation(Encoder):
 class Positional(Encoder):
     """Columns <attribute>_<label>_<position>; fill_value stands where a case has no event, None for null."""
 
-    params = ("fill_value",)
     label = ""
 
     def __init__(self, fill_value: float | str | None = 0):
         self.fill_value = fill_value
 
-    def _check(self, df: DataFrame) -> None:
+    def _check(self, df: DataFrame, names: list[str]) -> None:
         if not isinstance(self.fill_value, int | float | str | None):
             raise ValueError("fill_value is a number, a string or None")
 
@@ -137,15 +119,14 @@ class Positional(Encoder):
 class Windowing(Positional):
     """<attr>_w_j: the attribute's value j events back in the case, j = 0 ... n-1."""
 
-    params = "n", "fill_value"
     label = "w"
 
     def __init__(self, n: int = 2, fill_value: float | str | None = 0):
         super().__init__(fill_value)
         self.n = n
 
-    def _check(self, df: DataFrame) -> None:
-        super()._check(df)
+    def _check(self, df: DataFrame, names: list[str]) -> None:
+        super()._check(df, names)
         if not isinstance(self.n, int) or self.n < 1:
             raise ValueError("n is a positive integer")
 
@@ -184,12 +165,10 @@ class Indexing(Positional):
 class Bucketing(Encoder):
     """bucket: "b1" for all ("single"), or "b" and the event's position from 1 ("prefix")."""
 
-    params = ("method",)
-
     def __init__(self, method: str = "single"):
         self.method = method
 
-    def _check(self, df: DataFrame) -> None:
+    def _check(self, df: DataFrame, names: list[str]) -> None:
         if self.method == "clustering":
             raise NotImplementedError("clustering isn't implemented")
         if self.method not in ("single", "prefix"):
@@ -206,8 +185,6 @@ class Bucketing(Encoder):
 class OneHot(Encoder):
     """<column>_<value>: 1.0 where the column has the value; values are those at fit, sorted; others have zeros."""
 
-    params = "column", "most"
-
     def __init__(self, column: str = "activity", most: int = 1000):
         self.column, self.most = column, most
 

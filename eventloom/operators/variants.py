@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.base import CaseLevelTransformer
 from eventloom.eventlog import EventLog, case_offsets, to_event_log
 from eventloom.plans.storage import written
 
@@ -21,27 +22,23 @@ def variant_counts(log: DataFrame | EventLog) -> DataFrame:
     return traces(log).groupBy("trace").agg(F.count(F.lit(1)).alias("n_cases"))
 
 
-class VariantExtractor:
+class VariantExtractor(CaseLevelTransformer):
     """Numbers variants from 0 by the smallest case that shows them.
 
     transform gives a case the number of its variant at fit, null where fit has not seen it.
     """
 
-    def fit(self, log: DataFrame | EventLog) -> VariantExtractor:
-        found = traces(log).groupBy("trace").agg(F.min("case_id").alias("case_id"))
+    names_out = ("variant",)
+
+    def _fit(self, df: DataFrame) -> None:
+        found = traces(df).groupBy("trace").agg(F.min("case_id").alias("case_id"))
         found = written(found, "variants")
         ranges = max(1, min(256, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         ranked = case_offsets(found.select("case_id", F.lit(1).cast("long").alias("n")), ranges)
         self.variants_ = found.join(ranked, "case_id").select("trace", F.col("before").alias("variant"))
-        return self
-
-    def transform(self, log: DataFrame | EventLog) -> DataFrame:
-        if not hasattr(self, "variants_"):
-            raise ValueError("VariantExtractor isn't fitted yet")
-        return traces(log).join(self.variants_, "trace", "left").select("case_id", "variant")
 
-    def fit_transform(self, log: DataFrame | EventLog) -> DataFrame:
-        return self.fit(log).transform(log)
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return traces(df).join(self.variants_, "trace", "left").select("case_id", "variant")
 
     def inverse_transform(self, codes: DataFrame, column: str = "variant") -> DataFrame:
         """codes with the trace of each number; null for a number that isn't a variant's."""

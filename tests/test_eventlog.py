@@ -92,3 +92,16 @@ def test_positions_and_bounds(spark):
 def test_empty_log(spark):
     log = to_event_log(flat(spark, []))
     assert log.count() == 0 and eventlog.log_summary(log).first().n_events == 0
+
+
+def test_other_time_zones_are_refused(spark):
+    from eventloom.eventlog import ordered
+
+    df = spark.createDataFrame([("b", "2024-01-01", "x"), ("a", "2024-01-02", "y"), ("a", "2024-01-01", "z")], "case_id string, timestamp string, activity string")
+    assert [r.activity for r in ordered(df).collect()] == ["z", "y", "x"]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            to_event_log(df)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

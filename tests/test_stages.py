@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom import ml, schema
 from eventloom.eventlog import to_event_log, trace_positions
 from eventloom.functions import targets
-from eventloom.operators.encoding import Windowing
+from eventloom.operators.encoding import Aggregation, Indexing, OneHot, Windowing
 from eventloom.streaming import online
 
 BASE = dt.datetime(2024, 1, 1)
@@ -29,6 +29,85 @@ def test_pipeline(log):
     assert all(abs(r.prediction - means[r.activity]) < 1e-9 for r in out.collect())
 
 
+def test_every_row_stays(spark, log):
+    """Also events whose time can't be read; and the windows of a case share one exchange."""
+    rows = [("a", "2024-01-01 10:00:00", "x", 1.0), ("a", "no time", "y", 2.0), ("b", None, "x", 3.0)]
+    odd = to_event_log(spark.createDataFrame(rows, "case_id string, timestamp string, activity string, value double"))
+    stages = [ml.TimeFeatures("all", ["hour_of_day"]), ml.EncoderStage(Windowing(2, "<pad>"), ["activity"]), ml.EncoderStage(Aggregation("sum"), ["value"])]
+    out = Pipeline(stages=stages).fit(odd).transform(odd)
+    assert out.count() == 3 and {(r.activity, r.activity_w_1, r.value) for r in out.collect()} == {("x", "<pad>", 1.0), ("y", "x", 3.0), ("x", "<pad>", 3.0)}
+    canonical = log.select(*log.columns)
+    plan = Pipeline(stages=[*stages[:2]]).fit(canonical).transform(spark.createDataFrame(log.collect(), log.schema))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_params_copies_saving_and_loading(spark, log, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    time = ml.TimeFeatures("accumulated_time", None, "h")
+    assert time.copy({time.time_unit: "d"}).getOrDefault("time_unit") == "d" and time.getOrDefault("time_unit") == "h"
+    stage = ml.EncoderStage(Windowing(2, "<pad>"), ["activity"])
+    wider = stage.copy({stage.options: {"n": 3, "fill_value": "<pad>"}})
+    assert "activity_w_2" in wider.fit(log).transform(log).columns and "activity_w_2" not in stage.fit(log).transform(log).columns
+    labelled = log.join(targets.remaining_time(log).withColumnRenamed("remaining_time", "y"), list(schema.KEYS))
+    stages = [time, stage, ml.EncoderStage(Indexing("<pad>"), ["activity"]), ml.EncoderStage(OneHot("activity"), ["activity"]), ml.ActivityMean()]
+    Pipeline(stages=stages).save(str(tmp_path / "plan"))
+    fitted = Pipeline.load(str(tmp_path / "plan")).fit(labelled)
+    fitted.save(str(tmp_path / "fitted"))
+    again = PipelineModel.load(str(tmp_path / "fitted"))
+    one, two = (sorted(map(str, m.transform(labelled).collect())) for m in (fitted, again))
+    assert one == two and len(one) == 24
+    assert {"accumulated_time", "activity_w_1", "activity_pos_3", "activity_a", "prediction"} <= set(again.transform(labelled).columns)
+
+
+def test_params_of_extractors():
+    from eventloom.operators.baseline import ActivityMeanRegressor
+    from eventloom.operators.encoding import Bucketing
+    from eventloom.operators.extractors import TimestampExtractor, WorkInProgress
+    from eventloom.operators.roles import ResourcePoolExtractor
+    from eventloom.operators.variants import VariantExtractor
+
+    for stage in (TimestampExtractor(), WorkInProgress(), ResourcePoolExtractor(), VariantExtractor(), ActivityMeanRegressor(), Aggregation(), Indexing(), Windowing(), Bucketing(), OneHot()):
+        params = stage.get_params()
+        assert type(stage.clone()).__name__ in repr(stage) and stage.clone().get_params() == params
+        stage.set_params(**params)
+        with pytest.raises(ValueError):
+            stage.set_params(no_such=1)
+    assert WorkInProgress("2D").set_params(window_size="W").clone().window_size == "W"
+
+
+def test_names_are_checked(log):
+    class Odd(Windowing):
+        def get_feature_names_out(self):
+            return ["other"]
+
+    with pytest.raises(ValueError, match="declares"):
+        Odd(2).fit(log).transform(log)
+
+
+def test_cases_end_a_pipeline(log):
+    from eventloom.operators.variants import VariantExtractor
+
+    class Longest(ml.CaseLevelTransformer):
+        names_out = ("n",)
+
+        def _transform(self, df):
+            return df.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+
+    for stage in (VariantExtractor(), Longest()):
+        made = stage.fit(log).transform(log)
+        assert stage.cardinality == "case" and made.columns == ["case_id", *stage.names_out] and made.count() == 6
+        with pytest.raises(ValueError, match="row for each case"):
+            Windowing(2).fit(made)
+
+    class Lost(Longest):
+        def _transform(self, df):
+            return df.select(F.lit(1).alias("n"))
+
+    with pytest.raises(ValueError):
+        Lost().fit(log).transform(log)
+
+
 def test_own_stage(log):
     class Doubled(ml.BaseProcessTransformer):
         names_out = ("twice",)
