@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.eventlog import EventLog, to_event_log
+from eventloom.plans.storage import written
 from eventloom.schema import by_case, micros
 
 DAY = 86_400_000_000
-#: Slack of the longest duration, against rounding.
+#: Fixed value: slack of the longest duration, against rounding.
 SLACK = 1.00000000001
 
 
@@ -56,12 +57,33 @@ def temporal(log: DataFrame | EventLog, test_size: float = 0.2, validate: bool =
     return _checked(*sides, validate)
 
 
+def kth_smallest(df: DataFrame, column: str, k: int, ranges: int = 4096) -> int:
+    """The k-th smallest value, from 0, of a column of integers without nulls; df has more than k rows.
+
+    Each round counts the rows in ranges of the values that are left and goes on in the range that holds the k-th, so
+    that a task keeps counts and the driver gets at most `ranges` of them.
+    """
+    value = F.col(f"`{column}`")
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    while low < high:
+        width = -(-(high - low + 1) // ranges)
+        part = F.expr(f"(`{column}` - {low}L) div {width}L").alias("part")
+        found = df.where(value.between(low, high)).groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        for r in sorted(found.collect()):
+            if k < r.n:
+                low, high = r.low, r.high
+                break
+            k -= r.n
+    return low
+
+
 def unbiased_cases(log: DataFrame | EventLog, start_date: str | None, end_date: str | None, max_days: float, test_size: float = 0.2) -> DataFrame:
     """case_id and in_train of the cases that stay.
 
     Cases that begin before the first month, end after the last, take longer than max_days or begin within the last
     max_days of what is left go. The k-th case start, k = int(n (1 - test_size)), divides: a case that ends at or after
-    it is for testing. Everything happens on one row a case; the driver gets three numbers.
+    it is for testing. Everything happens on one row a case, which is written; the driver gets numbers and counts of
+    ranges.
     """
     _check_test_size(test_size)
     start_date, end_date = _month(start_date), _month(end_date)
@@ -70,6 +92,7 @@ def unbiased_cases(log: DataFrame | EventLog, start_date: str | None, end_date:
         cases = cases.where(F.date_format(F.timestamp_micros("first"), "yyyy-MM") >= start_date)
     if end_date:
         cases = cases.where(F.date_format(F.timestamp_micros("last"), "yyyy-MM") <= end_date)
+    cases = written(cases, "cases")
     last = cases.agg(F.max("last")).first()[0]
     lasting = (F.col("last") - F.col("first")) / float(DAY)
     cases = cases.where((lasting <= max_days * SLACK) & (F.col("first") <= (last or 0) - round(max_days * DAY)))
@@ -77,7 +100,7 @@ def unbiased_cases(log: DataFrame | EventLog, start_date: str | None, end_date:
     if not n:
         raise ValueError(f"no cases are left to split: all last longer than {max_days} days, or begin within the log's last {max_days} days")
     k = int(n * (1 - test_size))
-    t0 = cases.select("first").orderBy("first").offset(k).limit(1).first()[0]
+    t0 = kth_smallest(cases, "first", k)
     return cases.select("case_id", (F.col("last") < t0).alias("in_train"))
 
 
@@ -119,7 +142,7 @@ def train_test_split(
 
 
 def group_folds(log: DataFrame | EventLog, k: int) -> DataFrame:
-    """The log with fold, 0 ... k-1, the same for all events of a case."""
+    """The log with fold, 0 ... k-1, the same for all events of a case: its id's CRC-32, as text, modulo k."""
     if k < 2:
         raise ValueError("there are at least 2 folds")
-    return to_event_log(log).withColumn("fold", F.pmod(F.xxhash64("case_id"), F.lit(k)).cast("int"))
+    return to_event_log(log).withColumn("fold", (F.crc32(F.col("case_id").cast("string").cast("binary")) % k).cast("int"))

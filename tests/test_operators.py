@@ -111,6 +111,21 @@ def test_split_arguments(spark):
     assert all(r.k == 1 and 0 <= r.m < 4 for r in folds)
 
 
+def test_kth_smallest(spark):
+    rng = np.random.default_rng(5)
+    values = [int(v) for v in rng.integers(-(10**15), 10**15, 300)] + [7] * 50 + [8, 8, 9]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for k in (0, 1, 149, 160, 200, len(values) - 1):
+        assert split.kth_smallest(df, "v", k, 8) == sorted(values)[k]
+
+
+def test_no_split_gathers_cases(spark):
+    """No plan of the unbiased split sorts the cases in one place."""
+    log = log_of(spark, DAYS)
+    plan = split.unbiased_cases(log, None, None, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+
+
 # baselines
 
 
@@ -159,6 +174,10 @@ def test_roles_against_numpy(spark):
     for threshold in (0.3, 0.7, 0.95):
         extractor = roles.ResourcePoolExtractor(threshold).fit(log)
         assert {r.resource: r.resource_roles for r in extractor.roles_.collect()} == plain_roles(used, names, threshold)
+        found = components(roles.linked_resources(roles.resource_profiles(log), threshold, block=3)).collect()
+        together = {r.node: r.component for r in found}
+        role = plain_roles(used, names, threshold)
+        assert all((together.get(a, a) == together.get(b, b)) == (role[a] == role[b]) for a in names for b in names)
     new = to_event_log(spark.createDataFrame([("c", BASE, "a0", "nobody")], "case_id string, timestamp timestamp, activity string, resource string"))
     with pytest.warns(roles.ConceptDriftWarning):
         assert extractor.transform(new, warn=True).first().resource_roles == roles.UNKNOWN_ROLE
@@ -170,6 +189,22 @@ def test_roles_against_numpy(spark):
         roles.ResourcePoolExtractor().transform(log)
 
 
+def test_numbered_rows(spark):
+    from eventloom.eventlog import numbered_rows
+
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 40, (200, 2))]
+    rows = list(dict.fromkeys(rows))
+    got = numbered_rows(spark.createDataFrame(rows, "a int, b int").repartition(5), ["a", "b"], "n", 7).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)] == sorted(rows) and sorted(r.n for r in got) == list(range(len(rows)))
+    assert numbered_rows(spark.createDataFrame([], "a int, b int"), ["a"], "n", 3).count() == 0
+
+
+def test_value_counts(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("c",)], "x string")
+    assert [(r.value, r.n) for r in baseline.value_counts(df, "x").collect()] == [("b", 2), (None, 1), ("a", 1), ("c", 1)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 130)] + [(5, 5), (1, 1)]
