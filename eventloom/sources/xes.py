@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -24,12 +25,24 @@ def is_attribute(tag: str) -> bool:
     return local(tag) in TYPES
 
 
+#: Prefixes of names, whose namespaces are declared outside a trace.
+_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_][\w.-]*[\s=/>]")
+
+
 def parse_trace(text: str) -> list[dict[str, str]]:
     """The events of one <trace>, each with the case's attributes, which win over the event's own.
 
     A case's attributes are its direct children; an event's are all below it, at any depth, the later one winning.
+    Prefixes need not be declared in the trace: elements go by their local names. A <trace> with a prefix, or one that
+    a comment or CDATA with a </trace> cuts, is a ValueError.
     """
-    trace = ET.fromstring(text)
+    if not re.match(r"<trace[\s>]", text):
+        raise ValueError(f"not a <trace>: {text[:60]!r}; elements of XES with a prefix can't be read")
+    declared = "".join(f' xmlns:{p}="{p}"' for p in sorted(set(_PREFIX.findall(text)) - {"xml", "xmlns"}))
+    try:
+        (trace,) = ET.fromstring(f"<log{declared}>{text}</log>")
+    except (ET.ParseError, ValueError) as error:
+        raise ValueError(f"a trace can't be read: {error}; it begins {text[:60]!r}") from error
     case = {CASE_PREFIX + x.get("key", ""): x.get("value", "") for x in trace if is_attribute(x.tag)}
     events = []
     for event in trace:
@@ -50,8 +63,9 @@ def xes_events(spark: SparkSession, path: str) -> DataFrame:
     Records end with </trace>, so that a large file is read in splits and a trace is the unit of memory. Files may be
     gzipped. Values stay text.
     """
-    cut = _traces(spark, path).where(F.col("text").rlike(r"<trace[\s>]"))
-    cut = cut.withColumn("text", F.regexp_extract("text", r"(?s)(<trace[\s>].*)", 1))
+    begin = r"<(?:[\w.-]+:)?trace[\s>]"
+    cut = _traces(spark, path).where(F.col("text").rlike(begin))
+    cut = cut.withColumn("text", F.regexp_extract("text", f"(?s)({begin}.*)", 1))
     schema = T.StructType([T.StructField("file", T.StringType()), *_EVENTS])
     arrow = pa.schema([("file", pa.string()), ("trace", pa.int64()), ("at", pa.int64()), ("attributes", pa.map_(pa.string(), pa.string()))])
 

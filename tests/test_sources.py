@@ -42,6 +42,17 @@ def test_xes(spark, tmp_path, name):
     assert [(r.case_id, r.event_id, r.timestamp.astimezone(dt.timezone.utc).hour) for r in log] == [("PO-1", 0, 9), ("PO-1", 1, 9), ("PO-2", 2, 9)]
 
 
+def test_namespaces(spark, tmp_path):
+    text = XES.replace("<log ", '<log xmlns:foo="http://foo.org" xmlns:x="http://x.org" ').replace("<list key", '<foo:bar x:kind="a"/><foo:string key="far" value="see x:y http://z"/><list key')
+    (tmp_path / "log.xes").write_text(text)
+    rows = xes.read_xes(spark, str(tmp_path / "log.xes")).collect()
+    assert len(rows) == 3 and [r.far for r in rows if r.far] == ["see x:y http://z"]
+    for wrong in (text.replace("<trace", "<x:trace").replace("</trace", "</x:trace"), XES.replace("<event>", "<!-- </trace> --><event>", 1)):
+        (tmp_path / "wrong.xes").write_text(wrong)
+        with pytest.raises(Exception, match="trace"):
+            xes.xes_events(spark, str(tmp_path / "wrong.xes")).count()
+
+
 def test_tags():
     assert xes.is_attribute("{http://www.xes-standard.org/}string") and xes.is_attribute("float")
     assert not any(map(xes.is_attribute, ("list", "id", "container", "event")))
