@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.plans.queries import ROLE_THRESHOLD
+from eventloom.plans.queries import ROLE_THRESHOLD, UNSEEN
 
 E = "e AS (SELECT user_id AS case_id, ts, event_id, event_type AS activity, value, json_extract_string(props, '$.k') AS resource FROM events)"
 D = "e AS (SELECT user_id * 100 + day(ts) AS case_id, ts, event_id, event_type AS activity, value FROM events)"
@@ -53,6 +53,13 @@ NEXT = "a AS (SELECT case_id, event_id, CASE WHEN lead(1) OVER " + W + " IS NULL
 CUT = "(SELECT epoch_us(min(ts)) + floor((epoch_us(max(ts)) - epoch_us(min(ts))) * (1 - {}::DOUBLE))::BIGINT FROM e)"
 
 
+#: CRC-32 byte by byte, with its table in t.
+CRC_TABLE = """t AS (SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, list_extract(crcs, xor(c & 255, b) + 1))))"""
+
+
 def oracle_sql() -> dict[str, str]:
     # exact halves go up, as in the queries
     return {name: sql.replace(", 6)", " + 1e-9::DOUBLE, 6)") for name, sql in _sql().items()}
@@ -115,6 +122,18 @@ def _sql() -> dict[str, str]:
         "temporal_split_sides": f"WITH {D} SELECT CASE WHEN in_train THEN 'train' ELSE 'test' END AS side, count(*) AS n_events, count(DISTINCT case_id) AS n_cases FROM ({flags.format(0.3)}) GROUP BY 1",
         "unbiased_split": "WITH " + UNBIASED.format(log=D, bounds="true", days="1.0", test="0.2"),
         "unbiased_bounded": "WITH " + UNBIASED.format(log=D, bounds="strftime(f, '%Y-%m') >= '2024-01' AND strftime(l, '%Y-%m') <= '2024-01'", days="0.5", test="0.3"),
+        "group_folds": f"WITH {D}, {CRC_TABLE} SELECT case_id, event_id, ({CRC.format('case_id::VARCHAR')} % 5)::INT AS fold FROM e CROSS JOIN t",
+        "unbiased_sides": f"""WITH c AS (WITH {UNBIASED.format(log=D, bounds="true", days="1.0", test="0.2")}), {D}
+            SELECT CASE WHEN in_train THEN 'train' ELSE 'test' END AS side, count(*) AS n_events, count(DISTINCT case_id) AS n_cases FROM e JOIN c USING (case_id) GROUP BY 1""",
+        "unseen_activities": f"""WITH {D}, {LABELS}, m AS (SELECT activity, avg(y) AS mean FROM y WHERE activity != '{UNSEEN}' GROUP BY 1)
+            SELECT case_id, event_id, round(coalesce(mean, (SELECT avg(y) FROM y WHERE activity != '{UNSEEN}')), 6) AS prediction FROM y LEFT JOIN m USING (activity)""",
+        "unseen_resources": f"WITH {E} SELECT case_id, event_id, resource >= '5' AS unseen FROM e",
+        "activity_counts": f"WITH {E} SELECT activity AS value, count(*) AS n FROM e GROUP BY 1",
+        "top_variants": f"WITH {D}, {TRACES} SELECT trace AS value, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
+        "events_by_day": f"WITH {E} SELECT epoch_us(date_trunc('day', ts)) AS day_micros, count(*) AS n FROM e GROUP BY 1",
+        "ordered_head": f"WITH {E} SELECT case_id, event_id FROM e ORDER BY case_id, ts, event_id LIMIT 100",
+        "xes_nested_gz": f"WITH {E} SELECT case_id, event_id, activity FROM e",
+        "xes_parts": f"WITH {E} SELECT 'part_' || case_id % 2 AS log_version, case_id, count(*) AS n FROM e GROUP BY 1, 2",
         "activity_mean_baseline": f"WITH {D}, {LABELS} SELECT case_id, event_id, round(avg(y) OVER (PARTITION BY activity), 6) AS prediction FROM y",
         "baseline_mae_by_position": f"""WITH {D}, {LABELS}, f AS (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY case_id) <= {CUT.format(0.2)} AS in_train FROM y),
             m AS (SELECT activity, avg(y) AS mean FROM f WHERE in_train GROUP BY 1)

@@ -15,6 +15,8 @@ from eventloom.plans.storage import shared_dir
 from eventloom.sources import files, xes
 
 ROLE_THRESHOLD = 0.95
+#: An activity that unseen_activities leaves out of learning.
+UNSEEN = "purchase"
 
 
 def _r(c: Column | str) -> Column:
@@ -202,9 +204,7 @@ def temporal_split(spark, sf_dir):
 
 def temporal_split_sides(spark, sf_dir):
     """Events and cases of both sides, through the public call."""
-    sides = zip(("train", "test"), split.train_test_split(by_day(spark, sf_dir), test_size=0.3), strict=True)
-    one, other = (df.agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("case_id").alias("n_cases")).withColumn("side", F.lit(n)) for n, df in sides)
-    return one.unionByName(other)
+    return _sides(*split.train_test_split(by_day(spark, sf_dir), test_size=0.3))
 
 
 def unbiased_split(spark, sf_dir):
@@ -293,6 +293,74 @@ def csv_parts(spark, sf_dir):
     return both.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "event_type", "value")
 
 
+def _traces_text(log: DataFrame, path: str, compression: str = "none") -> None:
+    """A log as XES traces, one a line, whose events hold their id below their activity."""
+    event = F.format_string('<event><string key="concept:name" value="%s"><int key="number" value="%d"/></string></event>', "activity", "event_id")
+    grouped = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "event_id", event.alias("xml")))).alias("es"))
+    body = F.array_join(F.transform("es", lambda e: e["xml"]), "")
+    lines = grouped.select(F.concat(F.format_string('<trace><string key="concept:name" value="%d"/><x:note>', "case_id"), F.lit("</x:note>"), body, F.lit("</trace>")).alias("value"))
+    lines.write.option("compression", compression).text(path)
+
+
+def xes_nested_gz(spark, sf_dir):
+    """Nested attributes, and elements of a namespace that is declared elsewhere, from gzipped files."""
+    _traces_text(by_user(spark, sf_dir), path := _scratch(spark, "xes-nested"), "gzip")
+    flat = xes.read_xes(spark, path)
+    return flat.select(F.col("`case:concept:name`").cast("long").alias("case_id"), F.col("number").cast("long").alias("event_id"), F.col("`concept:name`").alias("activity"))
+
+
+def xes_parts(spark, sf_dir):
+    """Two XES parts as one log: events of each part and case."""
+    log, folder = by_user(spark, sf_dir), _scratch(spark, "xes-parts")
+    for i in (0, 1):
+        _traces_text(log.where(F.col("case_id") % 2 == i), f"{folder}/part_{i}.xes")
+    both = files.read_log(spark, f"{folder}/part_0.xes", f"{folder}/part_1.xes")
+    return both.groupBy("log_version", F.col("`case:concept:name`").cast("long").alias("case_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sides(train: DataFrame, test: DataFrame) -> DataFrame:
+    one, other = (df.agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("case_id").alias("n_cases")).withColumn("side", F.lit(n)) for n, df in (("train", train), ("test", test)))
+    return one.unionByName(other)
+
+
+def unbiased_sides(spark, sf_dir):
+    """Events and cases of both sides of the unbiased split, through the public call."""
+    return _sides(*split.train_test_split(by_day(spark, sf_dir), strategy="unbiased", max_days=1.0, test_size=0.2))
+
+
+def unseen_activities(spark, sf_dir):
+    """Means learnt without one activity, whose events get the mean of all."""
+    log = _labelled(by_day(spark, sf_dir))
+    fitted = baseline.ActivityMeanRegressor().fit(log.where(f"activity != '{UNSEEN}'"))
+    return fitted.predict(log).select("case_id", "event_id", _r("prediction").alias("prediction"))
+
+
+def unseen_resources(spark, sf_dir):
+    """Roles learnt from a part of the resources; the others have role 0."""
+    log = with_resource(spark, sf_dir)
+    fitted = roles.ResourcePoolExtractor(ROLE_THRESHOLD).fit(log.where("resource < '5'"))
+    return fitted.transform(log).select("case_id", "event_id", (F.col("resource_roles") == roles.UNKNOWN_ROLE).alias("unseen"))
+
+
+def activity_counts(spark, sf_dir):
+    return baseline.value_counts(by_user(spark, sf_dir), "activity")
+
+
+def top_variants(spark, sf_dir):
+    """The ten most frequent variants, a report."""
+    traces = variants.traces(by_day(spark, sf_dir)).select(F.array_join("trace", ">").alias("trace"))
+    return baseline.value_counts(traces, "trace").limit(10)
+
+
+def events_by_day(spark, sf_dir):
+    return by_user(spark, sf_dir).groupBy(schema.micros(time.floor_day()).alias("day_micros")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ordered_head(spark, sf_dir):
+    """The first hundred events of the ordered log, a report."""
+    return eventlog.ordered(by_user(spark, sf_dir)).limit(100).select("case_id", "event_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable] = {
         f.__name__: f
@@ -301,6 +369,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             calendar_features, time_extractor, windowing_n3, windowing_activity_pad, indexing, onehot_relative_frequency, wip_month, variant_counts, variant_decode, dfg,
             dfg_conversations, dfg_of_traces, node_degree, graph_density, nodes_in_cycles, temporal_split, temporal_split_sides, unbiased_split, unbiased_bounded, group_folds, activity_mean_baseline,
             baseline_mae_by_position, mean_baseline_mae, most_frequent_baseline, confusion, cross_table, resource_profiles, resource_correlation, resource_roles, xes_scan, csv_parts,
+            xes_nested_gz, xes_parts, unbiased_sides, unseen_activities, unseen_resources, activity_counts, top_variants, events_by_day, ordered_head,
         )
     }
     found |= {f"agg_{m}": _aggregation(m) for m in encoding.METHODS} | {"agg_mean_w3": _aggregation("mean", 3), "agg_median_w5": _aggregation("median", 5)}

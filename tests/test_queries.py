@@ -8,8 +8,6 @@ from eventloom.plans import oracle, queries
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = queries.queries(), oracle.oracle_sql()
-#: Folds come from a hash that SQL elsewhere doesn't have.
-WITHOUT_SQL = {"group_folds"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +26,7 @@ def rows(columns, data):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL and set(SQL) <= set(QUERIES)
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
