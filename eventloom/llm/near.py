@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -32,8 +32,8 @@ SMALL = 16
 BESIDE = 3
 #: Signatures of one task that it remembers to pass each on once.
 REMEMBERED = 1 << 20
-#: Candidates of a document, or of a document and a group, that one round of confirmation takes; None: all.
-ROUNDS = 1, 2, None
+#: Rounds of confirmation: one candidate of each document, then one of each document and group, then all that are left.
+ROUNDS = 3
 _RNG = np.random.default_rng(20)
 _MASKS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _FACTORS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -322,11 +322,21 @@ def _left_open(members: DataFrame, blobs: DataFrame, labels: DataFrame | None, s
 
 
 def _linked(pairs: DataFrame, blobs: DataFrame, labels: DataFrame | None, similarity: tuple[int, int], name: str, known: bool = False) -> DataFrame | None:
-    """labels (node, root) after the links among pairs a < b, numbered by turn; None: no links yet. known: pairs have ca and cb."""
-    for i, most in enumerate(ROUNDS):
-        # ca and cb: what a and b are known to belong to
-        chosen = pairs if most is None else pairs.where(F.col("turn") <= most)
-        chosen = chosen.select("a", "b", *(("ca", "cb") if known else (F.col("a").alias("ca"), F.col("b").alias("cb"))))
+    """labels (node, root) after the links among pairs a < b; None: no links yet. known: pairs have ca and cb, what a and b belong to.
+
+    Each round but the last confirms one pair, that of the least a, for each b, or for each b and group of a.
+    """
+    for i in range(ROUNDS):
+        last = i == ROUNDS - 1
+        chosen = rest = pairs
+        if not last:
+            by = ["b", "ca"] if known else ["b"]
+            # counted before rows meet: a node with very many pairs is a key of a join that Spark can split
+            least = written(pairs.groupBy(*by).agg(F.min("a").alias("least")), f"{name}-least-{i}")
+            joined = pairs.join(least, by)
+            chosen, rest = joined.where("a = least").drop("least"), joined.where("a > least").drop("least")
+        if not known:
+            chosen, rest = (x.withColumns({"ca": F.col("a"), "cb": F.col("b")}) for x in (chosen, rest))
         sides = chosen.join(blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         links = sides.select("ca", "cb", "x", "y").mapInArrow(_confirmed(similarity), from_arrow_schema(_PAIRS))
         if known:
@@ -336,15 +346,12 @@ def _linked(pairs: DataFrame, blobs: DataFrame, labels: DataFrame | None, simila
         if not links.isEmpty():
             new = written(roots_of(links, f"{name}-roots-{i}", forest=not known), f"{name}-roots-{i}")
             labels = written(new if labels is None else moved(labels, "root", new).unionByName(new).distinct(), f"{name}-labels-{i}")
-        if most is None:
+        if last:
             break
-        rest = pairs.where(F.col("turn") > most).drop("turn")
-        if not known:
-            rest = rest.withColumns({"ca": F.col("a"), "cb": F.col("b")})
         if new is not None:
             rest = moved(moved(rest, "ca", new), "cb", new)
         known = True
-        pairs = written(rest.where("ca != cb").withColumn("turn", F.row_number().over(Window.partitionBy("b", "ca").orderBy("a"))), f"{name}-pairs-{i}")
+        pairs = written(rest.where("ca != cb").select("a", "b", "ca", "cb"), f"{name}-pairs-{i}")
         if pairs.isEmpty():
             break
     return labels
@@ -360,7 +367,7 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, similarity: tuple[in
     near = leaves.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, similarity), from_arrow_schema(_FOUND))
     found = written(near.distinct(), "found")
     members = found.where("big").select(F.col("a").alias("region"), F.col("b").alias("node"))
-    pairs = written(found.where("NOT big").select("a", "b").withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("a"))), "pairs")
+    pairs = found.where("NOT big").select("a", "b")
 
     asked = pairs.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
     wanted = signed.where("n > 0").groupBy("node").agg(F.min(F.struct("key", "print")).alias("of")).join(asked, "node", "left_semi").select("of.key", "of.print").distinct()
@@ -373,12 +380,13 @@ def _grouped(df: DataFrame, key: str, text: str, size: int, similarity: tuple[in
                 own = [s for s in shingle_sets([x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()], size) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(_digest, own), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], schema=sets_of)
 
-    blobs = written(texts.select("text").mapInArrow(sets, from_arrow_schema(sets_of)).dropDuplicates(["node"]), "sets")
+    blobs = written(texts.select("text").mapInArrow(sets, from_arrow_schema(sets_of)), "sets")
+    if not blobs.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():  # rows equal in key and text
+        blobs = written(blobs.dropDuplicates(["node"]), "sets")
     labels = _linked(pairs, blobs, None, similarity, "near")
     left = _left_open(members, blobs, labels, similarity)
     if left is not None:
-        left = written(left.withColumn("turn", F.row_number().over(Window.partitionBy("b", "ca").orderBy("a"))), "left")
-        labels = _linked(left, blobs, labels, similarity, "left", True)
+        labels = _linked(written(left, "left"), blobs, labels, similarity, "left", True)
     if labels is None:
         labels = asked.select("node", F.col("node").alias("root")).limit(0)
     rows = written(signed.select("key", "print", "n", "node").join(labels, "node", "left").select("key", "print", "n", F.coalesce("root", "node").alias("group")), "rows", keep=True)
