@@ -17,6 +17,11 @@ _OPEN: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one, in local mode only.
 
@@ -25,16 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not context.getCheckpointDir():
-        if not found and not context.master.split("[")[0] == "local":
+        if not found and not is_local(spark):
             raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="eventloom-"))
     return found or context.getCheckpointDir()
 
 
+def _found(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark reads."""
+    at, files = _found(spark, path)
+    return files.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table; no error if it is gone."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, files = _found(spark, path)
+    files.delete(at, True)
 
 
 @contextmanager

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.eventlog import EventLog, to_event_log
+from eventloom.plans.storage import exists, is_local
 from eventloom.sources.files import FORMATS, read_log, write_log
 
 
@@ -63,23 +64,26 @@ class CatalogLog(EventLog):
 def load(spark: SparkSession, name: str, folder: str | None = None, cache: str = "parquet") -> CatalogLog:
     """A log from folder/name: the cached table if there is one, else the published files, which are then cached.
 
-    folder must exist if it is given; by default it is ~/eventloom/event_logs. An unknown cache format means parquet.
-    The files themselves have to be there: nothing is downloaded. ValueError where there are none, or no events.
+    folder, in any store that Spark reads, must exist if it is given; by default it is ~/eventloom/event_logs, in local
+    mode only, as other machines don't see it. An unknown cache format means parquet. The files themselves have to be
+    there: nothing is downloaded. ValueError where there are none, or no events.
     """
     if name not in CATALOG:
         raise ValueError(f"{name!r} isn't in the catalog: {list(CATALOG)}")
-    if folder is not None and not Path(folder).is_dir():
+    if folder is None and not is_local(spark):
+        raise ValueError("name the folder: a home folder isn't shared by a cluster's machines")
+    if folder is not None and not exists(spark, str(folder)):
         raise ValueError(f"{folder} is no folder")
     kind = cache if cache in FORMATS else "parquet"
-    own = (Path(folder) if folder is not None else Path.home() / "eventloom" / "event_logs") / name
-    cached = own / f"{name}{FORMATS[kind]}"
+    own = f"{folder if folder is not None else Path.home() / 'eventloom' / 'event_logs'}/{name}"
+    cached = f"{own}/{name}{FORMATS[kind]}"
     entry = CATALOG[name]
-    if not cached.exists():
-        files = [own / f for f in entry.files]
-        if missing := [str(f) for f in files if not f.exists()]:
+    if not exists(spark, cached):
+        files = [f"{own}/{f}" for f in entry.files]
+        if missing := [f for f in files if not exists(spark, f)]:
             raise ValueError(f"no cached table and no published files: {missing}")
-        write_log(read_log(spark, *map(str, files)), str(cached), kind)
-    df = read_log(spark, str(cached))
+        write_log(read_log(spark, *files), cached, kind)
+    df = read_log(spark, cached)
     if df.isEmpty():
         raise ValueError(f"{cached} holds no events")
     return CatalogLog(name, to_event_log(df.drop(*entry.drop).withColumnsRenamed(entry.rename)))
