@@ -46,12 +46,30 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted distinct 32-bit integers: the first, then steps of three bytes if all fit, else as they are."""
+    values = values.astype("<u4")
+    steps = np.diff(values)
+    if len(steps) and steps.max() >= 1 << 24:
+        return b"\0" + values.tobytes()
+    return b"\1" + values[:1].tobytes() + steps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    if blob[0] == 0 or len(blob) == 1:
+        return np.frombuffer(blob, "<u4", offset=1)
+    steps = np.zeros(((len(blob) - 5) // 3 + 1, 4), np.uint8)
+    steps[0] = np.frombuffer(blob, np.uint8, 4, 1)
+    steps[1:, :3] = np.frombuffer(blob, np.uint8, offset=5).reshape(-1, 3)
+    return np.cumsum(steps.view("<u4").ravel(), dtype=np.uint32)
+
+
 def _dealt(hashes: np.ndarray, buckets: int) -> dict[int, bytes]:
-    """Low halves of distinct hashes, sorted, by bucket."""
-    hashes = np.unique(hashes)
-    cuts = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-    low = hashes.astype("<u4")
-    return {b: low[cuts[b] : cuts[b + 1]].tobytes() for b in range(buckets) if cuts[b + 1] > cuts[b]}
+    """The distinct low halves of hashes in each bucket, sorted and packed."""
+    placed = np.unique(_bucket(hashes, buckets).astype(np.uint64) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF))
+    cuts = np.searchsorted(placed, np.arange(buckets + 1).astype(np.uint64) << np.uint64(32))
+    low = placed.astype("<u4")
+    return {b: _packed(low[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b + 1] > cuts[b]}
 
 
 def _anchor_windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,13 +111,13 @@ def substring_duplicates(
         hashes, whole, anchors = _anchor_windows(words, anchor)
         asked, held = _dealt(hashes[whole], buckets), _dealt(hashes[anchors], buckets)
         batch = table.column("batch")[0].as_py()
-        return pa.table([pa.array(list(asked), pa.int32()), pa.array([batch] * len(asked), pa.int32()), list(asked.values()), [held.get(b, b"") for b in asked]], schema=_PROBES)
+        return pa.table([pa.array(list(asked), pa.int32()), pa.array([batch] * len(asked), pa.int32()), list(asked.values()), [held.get(b, b"\1") for b in asked]], schema=_PROBES)
 
     def hits(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         who = table.column("batch").to_numpy()
-        asked = [np.frombuffer(x, "<u4") for x in table.column("probes").to_pylist()]
-        held = np.unique(np.frombuffer(b"".join(table.column("anchors").to_pylist()), "<u4"))
+        asked = [_unpacked(x) for x in table.column("probes").to_pylist()]
+        held = np.unique(np.concatenate([_unpacked(x) for x in table.column("anchors").to_pylist()]))
         every = np.concatenate(asked).astype(np.uint64) << np.uint64(32) | np.repeat(who, [len(x) for x in asked]).astype(np.uint64)
         every.sort()
         value = (every >> np.uint64(32)).astype(np.uint32)
@@ -112,7 +130,7 @@ def substring_duplicates(
         order = np.argsort(batch, kind="stable")
         value, batch = value[order], batch[order]
         own, first = np.unique(batch, return_index=True)
-        blobs = [x.astype("<u4").tobytes() for x in np.split(value, first[1:])] if len(own) else []
+        blobs = [_packed(x) for x in np.split(value, first[1:])] if len(own) else []
         return pa.table([pa.array(own.astype(np.int32)), pa.array([bucket] * len(own), pa.int32()), pa.array(blobs, pa.binary())], schema=_HITS)
 
     def prints(table: pa.Table, heard: pa.Table) -> pa.Table:
@@ -123,7 +141,7 @@ def substring_duplicates(
         kept, own = np.unique(hashes[whole], return_counts=True)
         local = np.intersect1d(kept[own > 1], hashes[anchors])
         code = _bucket(hashes, buckets).astype(np.uint64) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
-        told = [np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(b << 32) for b, x in zip(heard.column("bucket").to_pylist(), heard.column("hits").to_pylist(), strict=True)]
+        told = [_unpacked(x).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(heard.column("bucket").to_pylist(), heard.column("hits").to_pylist(), strict=True)]
         hit = whole & (_within(code, np.sort(np.concatenate(told))) if told else False)
         hit |= whole & _within(hashes, local)
         near = hit.copy()

@@ -41,7 +41,7 @@ def _joined(x: np.ndarray, y: np.ndarray, shift: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts. halves: both halves of all words' digests, text after text; text i has words first[i] ... first[i+1]-1."""
+    """The words of some texts, text after text; text i has words first[i] ... first[i+1]-1, counts[i] of them."""
 
     def __init__(self, raws: list[bytes], lower: bool = False):
         data = b" ".join([b"", *raws, bytes([32]) * 16])
@@ -59,15 +59,19 @@ class Words:
         low = eight[starts] & _MASKS[np.minimum(size, 8)]
         high = eight[np.minimum(starts + 8, len(data) - 8)] & _MASKS[np.clip(size - 8, 0, 7)]
         high |= size.astype(np.uint64) << np.uint64(56)
-        self.halves = _digested(low, high, _ODD[0], _ODD[1]), _digested(low, high, _ODD[2], _ODD[3])
-        long = np.flatnonzero(size > SHORT)
-        if len(long):
-            digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
-            both = np.frombuffer(digests, "<u8").reshape(-1, 2)
-            self.halves[0][long], self.halves[1][long] = both[:, 0], both[:, 1]
+        self._pairs = low, high
+        self._long = np.flatnonzero(size > SHORT)
+        places = zip(starts[self._long].tolist(), ends[self._long].tolist(), strict=True)
+        self._digests = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in places]), "<u8").reshape(-1, 2)
 
     def __len__(self) -> int:
-        return len(self.halves[0])
+        return len(self._pairs[0])
+
+    def half(self, which: int) -> np.ndarray:
+        """One half of the digest of every word."""
+        out = _digested(*self._pairs, _ODD[2 * which], _ODD[2 * which + 1])
+        out[self._long] = self._digests[:, which]
+        return out
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
@@ -79,7 +83,7 @@ class Words:
         Blocks of 1, 2, 4 ... words are joined to `size` of them. No step is linear in the words, and both halves
         together are 128 bits.
         """
-        block, made, done, width = self.halves[half], None, 0, 1
+        block, made, done, width = self.half(half), None, 0, 1
         while width <= size:
             if size & width:
                 made = block if made is None else _joined(made, block, done)

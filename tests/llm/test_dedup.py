@@ -128,6 +128,17 @@ def test_substring_edge_cases(spark):
             substring.substring_duplicates(wrong, wrong.columns[0], "text")
 
 
+def test_packed_hashes_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in ([], [5], [0, 1 << 31], [2**32 - 1], rng.integers(0, 1 << 32, 5000), np.arange(70_000) * 9 + 2**31):
+        own = np.unique(np.array(values, np.uint64)).astype(np.uint32)
+        assert substring._unpacked(substring._packed(own)).tolist() == own.tolist()
+    dense = np.arange(4000, dtype=np.uint32) * 1_000_000
+    assert len(substring._packed(dense)) < 3.1 * len(dense)
+
+
 def test_batches_follow_the_bytes(spark):
     rows = corpus(7)
     got = substring.substring_duplicates(frame(spark, rows), "doc_id", "text", batch_bytes=900).collect()
@@ -280,11 +291,11 @@ def test_words_are_hashed_as_split():
     assert words.counts.tolist() == [len(r.split()) for r in raws]
     flat = [w for r in raws for w in r.split()]
     named = {}
-    for w, *h in zip(flat, *(x.tolist() for x in words.halves), strict=True):
+    for w, *h in zip(flat, words.half(0).tolist(), words.half(1).tolist(), strict=True):
         assert named.setdefault(w, h) == h
     for half in (0, 1):
         assert len({h[half] for h in named.values()}) == len(named)
-    assert len(Words([])) == 0 and Words([b"Ab \xc3\x89"], lower=True).halves[0].tolist() == Words([b"ab \xc3\x89"]).halves[0].tolist()
+    assert len(Words([])) == 0 and Words([b"Ab \xc3\x89"], lower=True).half(0).tolist() == Words([b"ab \xc3\x89"]).half(0).tolist()
 
 
 def test_windows_are_told_apart():
