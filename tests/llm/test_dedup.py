@@ -186,23 +186,24 @@ def test_near_in_a_large_region(spark):
     assert got == {i: 0 for i in range(90)} | {500: 500}
 
 
-def families(n, size, own, changes=0, seed=8):
-    """(rows, pairs that are linked) of n texts of `size` shingles on one template: texts 2k and 2k + 1 are partners.
+def family(n, size, template, pair):
+    """n texts of `size` shingles, `template` of which all have; texts 2k and 2k + 1 share `pair`."""
+    base = [f"w{i}" for i in range(template + 4)]
+    return [
+        (i, " ".join([*base, *(f"p{i // 2}-{x}" for x in range(pair - template)), *(f"s{i}-{x}" for x in range(size - pair))]))
+        for i in range(n)
+    ]
 
-    A text has `own` words that no other has, and its partner's other words; between any others fewer are shared.
-    """
+
+def mutants(n, size, changes, seed=8):
+    """n texts of `size` shingles, `changes` words of which, anywhere, are their own."""
     rng = random.Random(seed)
-    base = [f"w{i}" for i in range(size + 4)]
     rows = []
-    for k in range(n // 2):
-        shared = list(base)
-        for at in rng.sample(range(2, size), changes):
-            shared[at] = f"p{k}-{at}"
-        for side in (0, 1):
-            text = list(shared)
-            for at in rng.sample(range(2, size), own):
-                text[at] = f"s{k}-{side}-{at}"
-            rows.append((2 * k + side, " ".join(text)))
+    for i in range(n):
+        own = [f"w{x}" for x in range(size + 4)]
+        for at in rng.sample(range(size + 4), changes):
+            own[at] = f"new{i}-{at}"
+        rows.append((i, " ".join(own)))
     return rows
 
 
@@ -227,20 +228,27 @@ def all_pairs(rows):
         label = lower
 
 
-@pytest.mark.parametrize("own,changes,low,high", [(4, 0, 0.6, 0.72), (2, 3, 0.62, 0.72)])
-def test_near_in_a_family_below_the_threshold(spark, own, changes, low, high):
-    """1000 sets of a mean similarity below the threshold, of which few or only partners are linked, against all pairs."""
-    rows = families(1000, 200, own, changes)
+def test_near_among_mutants_of_one_text(spark):
+    """1000 sets of a mean similarity below the threshold, of which few are linked, against all pairs."""
+    rows = mutants(1000, 200, 4)
     want, mean = all_pairs(rows)
-    assert low < mean < high
+    assert 0.6 < mean < 0.7 and 1 < len(set(want.values())) < 1000
     got = {r.doc_id: r.component_id for r in near.near_groups(frame(spark, rows), "doc_id", "text", partitions=4).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("template", [300, 329, 338])
+def test_near_partners_in_a_family(spark, template):
+    """Partners at 0.762; the similarity to all others is 0.6, 0.70 or 0.73, so that nothing stands in for a link."""
+    n = 2000 if template == 338 else 600
+    got = {r.doc_id: r.component_id for r in near.near_groups(frame(spark, family(n, 400, template, 346)), "doc_id", "text", partitions=4).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
 def test_near_where_partitions_cut_regions(spark):
     """Small regions and large ones over many partitions: 40 pairs, a group of 300 near copies, a family of few links."""
     rng = random.Random(9)
-    rows = families(400, 200, 2, 4)
+    rows = family(400, 200, 160, 173)
     for k in range(40):
         words = [f"q{k}-{i}" for i in range(100)]
         rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join([*words[:-1], "end"]))]
@@ -249,7 +257,7 @@ def test_near_where_partitions_cut_regions(spark):
         own = list(base)
         own[rng.randrange(150)] = f"g-{k}"
         rows.append((2000 + k, " ".join(own)))
-    want = plain_near(rows[400:]) | {i: (200, c, c == i) for i, c in all_pairs(rows[:400])[0].items()}
+    want = plain_near(rows[400:]) | {i: (200, i - i % 2, i % 2 == 0) for i in range(400)}
     got = near.near_groups(frame(spark, rows), "doc_id", "text", partitions=60).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
