@@ -99,6 +99,7 @@ def linked_resources(profiles: DataFrame, threshold: float, block: int = BLOCK)
     met = rows.withColumn("own", own).withColumn("other", other).select("resource", "profile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def edges(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("resource")  # so that an edge leads from the smaller resource
         label = _linked([[(r["activity"], r["n"]) for r in p] for p in part["profile"]], int(size), threshold)
         at = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": part["resource"].to_numpy()[label[at]], "b": part["resource"].to_numpy()[at]})
