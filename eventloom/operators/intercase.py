@@ -12,8 +12,8 @@ from eventloom.schema import KEYS, micros
 
 #: Microseconds of the units of fixed width.
 WIDTHS = {"D": 86_400_000_000, "h": 3_600_000_000, "H": 3_600_000_000, "min": 60_000_000, "T": 60_000_000, "s": 1_000_000, "S": 1_000_000}
-#: Calendar units.
-CALENDAR = {"MS": "month", "ME": "month", "M": "month", "QS": "quarter", "QE": "quarter", "YS": "year", "YE": "year"}
+#: Calendar units: their months, and whether bins of several are counted from their starts, else from their ends.
+CALENDAR = {"MS": (1, True), "ME": (1, False), "M": (1, False), "QS": (3, True), "QE": (3, False), "YS": (12, True), "YE": (12, False)}
 WEEK = 7 * WIDTHS["D"]
 
 
@@ -21,8 +21,9 @@ def time_bin(window_size: str, first: Column) -> Column:
     """The number of the bin of column timestamp. first: the log's first time, in microseconds.
 
     Fixed widths run on from midnight of the log's first event; "W" bins are weeks from Monday, "nW" n of them, the
-    first ending on the first Sunday at or after the first event; months, quarters and years are the calendar's; "B"
-    counts days and puts weekends to their Friday.
+    first ending on the first Sunday at or after the first event. Months, quarters and years are the calendar's: n of
+    them begin with the first event's ("nMS"), or the first bin ends with the first event's ("nME"). "B" counts
+    working days from the first event's and puts weekends to their Friday.
     """
     matched = re.fullmatch(r"(\d*)([A-Za-z]+)", window_size)
     if not matched or matched[1] and not int(matched[1]):
@@ -35,11 +36,21 @@ def time_bin(window_size: str, first: Column) -> Column:
     if unit in ("W", "W-SUN"):  # 1970-01-01 was a Thursday: Mondays are 4 modulo 7
         week, first_week = F.floor((days + 3) / 7), F.floor((F.floor(first / day) + 3) / 7)
         return F.ceil((week - first_week) / n)
-    if n > 1 or unit not in (*CALENDAR, "B"):
-        raise ValueError(f"{window_size!r} isn't supported: multiples are for fixed widths and weeks")
+    if unit not in (*CALENDAR, "B"):
+        raise ValueError(f"{window_size!r} isn't supported: units are {[*WIDTHS, 'W', *CALENDAR, 'B']}")
     if unit == "B":
-        return days - F.greatest(F.weekday("timestamp") - 4, F.lit(0))
-    return F.unix_date(F.date_trunc(CALENDAR[unit], "timestamp").cast("date")).cast("long")
+
+        def working(day: Column) -> Column:
+            return F.floor((day + 3) / 7) * 5 + F.least((day + 3) - F.floor((day + 3) / 7) * 7, F.lit(4))
+
+        return F.floor((working(days) - working(F.floor(first / day))) / n)
+    months, from_start = CALENDAR[unit]
+
+    def period(time: Column) -> Column:
+        return F.floor((F.year(time) * 12 + F.month(time) - 1) / months)
+
+    since = period(F.col("timestamp")) - period(F.timestamp_micros(first.cast("long")))
+    return F.floor(since / n) if from_start else F.ceil(since / n)
 
 
 def work_in_progress(log: DataFrame | EventLog, window_size: str = "1D") -> DataFrame:

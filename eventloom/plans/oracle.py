@@ -106,6 +106,11 @@ def _sql() -> dict[str, str]:
         "wip_2week": _wip(f"({WEEK} - {FIRST_WEEK} + 1) // 2"),
         "wip_business_day": _wip(f"epoch_us(ts) // {DAY_US} - greatest(isodow(ts) - 5, 0)"),
         "wip_quarter": _wip("date_trunc('quarter', ts)"),
+        "wip_2month_starts": _wip("((year(ts) * 12 + month(ts)) - (SELECT min(year(ts) * 12 + month(ts)) FROM e)) // 2", O),
+        "wip_2month_ends": _wip("((year(ts) * 12 + month(ts)) - (SELECT min(year(ts) * 12 + month(ts)) FROM e) + 1) // 2", O),
+        "wip_3quarters": _wip("((year(ts) * 4 + quarter(ts)) - (SELECT min(year(ts) * 4 + quarter(ts)) FROM e) + 2) // 3", O),
+        "wip_2years": _wip("(year(ts) - (SELECT min(year(ts)) FROM e)) // 2", O),
+        "wip_2business_days": _wip("(epoch_us(date_trunc('week', ts)) // 604800000000 * 5 + least(isodow(ts), 5) - (SELECT min(epoch_us(date_trunc('week', ts)) // 604800000000 * 5 + least(isodow(ts), 5)) FROM e)) // 2"),
         "wip_month": _wip("date_trunc('month', ts)", O),
         "variants": f"WITH {D}, {TRACES}, {CODES} SELECT case_id, variant FROM t JOIN v USING (trace)",
         "variant_counts": f"WITH {D}, {TRACES} SELECT trace, count(*) AS n_cases FROM t GROUP BY 1",

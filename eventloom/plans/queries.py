@@ -156,6 +156,13 @@ def _wip(width: str) -> Callable:
     return query
 
 
+def _wip_orders(width: str) -> Callable:
+    def query(spark, sf_dir):
+        return intercase.work_in_progress(orders(spark, sf_dir), width).drop("timestamp")
+
+    return query
+
+
 def wip_month(spark, sf_dir):
     return intercase.work_in_progress(orders(spark, sf_dir), "ME").drop("timestamp")
 
@@ -375,4 +382,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found |= {f"agg_{m}": _aggregation(m) for m in encoding.METHODS} | {"agg_mean_w3": _aggregation("mean", 3), "agg_median_w5": _aggregation("median", 5)}
     found |= {f"bucketing_{m}": _bucketing(m) for m in ("single", "prefix")}
     found |= {"wip_1d": _wip("1D"), "wip_12h": _wip("12h"), "wip_7h": _wip("7h"), "wip_2d": _wip("2D"), "wip_week": _wip("W"), "wip_2week": _wip("2W"), "wip_business_day": _wip("B"), "wip_quarter": _wip("QE")}
+    found |= {"wip_2month_starts": _wip_orders("2MS"), "wip_2month_ends": _wip_orders("2ME"), "wip_3quarters": _wip_orders("3QE"), "wip_2years": _wip_orders("2YS"), "wip_2business_days": _wip("2B")}
     return found | {"variants": variants_}

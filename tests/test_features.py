@@ -102,8 +102,25 @@ def test_work_in_progress(spark, width, rows, want):
     assert got == want
 
 
+@pytest.mark.parametrize("width", ["2MS", "2ME", "5ME", "QS", "2QE", "3QS", "YE", "2YS", "2YE", "2B", "3B"])
+def test_calendar_widths_against_pandas(spark, width):
+    """Which events share a bin, over four years, as pandas groups them."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    # the first event is on a working day: for others pandas has no single rule
+    times = [pd.Timestamp("2021-02-17 05:00")] + [pd.Timestamp("2021-02-17 06:00") + pd.Timedelta(minutes=int(m)) for m in rng.integers(0, 4 * 365 * 1440, 60)]
+    frame = pd.DataFrame({"time": times, "case": [f"c{i}" for i in range(61)]})
+    want = {}
+    for _, part in frame.groupby(pd.Grouper(key="time", freq=width)):
+        want |= {c: len(part) for c in part["case"]}
+    log = log_of(spark, list(zip(frame["case"], frame["time"].astype(str), strict=True)))
+    assert {r.case_id: r.wip for r in intercase.work_in_progress(log, width).collect()} == want
+
+
 def test_widths_that_are_not_supported(spark):
-    for width in ("2ME", "0D", "x", "3 days"):
+    for width in ("0D", "x", "3 days", "2X"):
         with pytest.raises(ValueError):
             intercase.work_in_progress(log_of(spark, GAPS), width)
     rows = [("a", "2024-01-01"), ("b", "never")]
