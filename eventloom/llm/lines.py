@@ -14,9 +14,10 @@ from eventloom.plans.storage import written
 
 #: The host of a URL, without user and port.
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
-#: What of HTML has no text, what ends a line, and what is left out.
-SILENT = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-BLOCKS = r"(?i)</?(?:html|head|body|title|meta|p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|aside|main|br|hr|tr|td|th|table|pre|blockquote|form)(?:[\s/][^>]*)?>|<!doctype[^>]*>"
+#: What of HTML has no text, what ends a line, and what is left out. Each begins with its one first character, which a
+#: search finds much faster than alternatives that each begin with it.
+SILENT = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)"
+BLOCKS = r"(?i)<(?:/?(?:html|head|body|title|meta|p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|aside|main|br|hr|tr|td|th|table|pre|blockquote|form)(?:[\s/][^>]*)?|!doctype[^>]*)>"
 TAGS = r"<[^>]*>"
 
 
@@ -33,7 +34,7 @@ def html_text(html: str) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without blanks around them, empty ones left out; of a null text, none."""
-    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
+    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
     return F.filter(trimmed, lambda x: x != "")
 
 

@@ -101,8 +101,13 @@ def _mixing() -> str:
     """
 
 
+#: HTML as the SQL reads it.
+SILENT = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+BLOCKS = r"(?i)</?(?:html|head|body|title|meta|p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|aside|main|br|hr|tr|td|th|table|pre|blockquote|form)(?:[\s/][^>]*)?>|<!doctype[^>]*>"
+
+
 def _lines() -> str:
-    quoted = {k: v.replace("'", "''") for k, v in (("host", lines.HOST), ("silent", lines.SILENT), ("blocks", lines.BLOCKS), ("tags", lines.TAGS))}
+    quoted = {k: v.replace("'", "''") for k, v in (("host", lines.HOST), ("silent", SILENT), ("blocks", BLOCKS), ("tags", lines.TAGS))}
     return r"""
     WITH bare AS (
       SELECT page_id, coalesce(regexp_extract(lower(url), '{host}', 1), '') AS host,
